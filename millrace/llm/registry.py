@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import quality
+from millrace.llm import pieces, quality
 from millrace.llm.common import table
 
 
+def op6_sentencepiece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.op6(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_sentencepiece_rounds": op6_sentencepiece_rounds,
     "op9_quality_ftrl": op9_quality_ftrl,
 }
 

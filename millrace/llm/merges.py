@@ -13,6 +13,7 @@ LONG symbols go through a heap instead (the same order of merges), so one endles
 from __future__ import annotations
 
 import heapq
+from itertools import chain
 
 import numpy as np
 
@@ -153,6 +154,19 @@ def merge_words(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> t
     return syms[np.argsort(words, kind="stable")], out_len
 
 
+class _Index(dict):
+    """A number for each unit; new units are also listed in `fresh`."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        self.fresh.append(unit)
+        return n
+
+
 class UnitStore:
     """Units of text met before and their ids, so each is merged once; emptied beyond `limit` units."""
 
@@ -161,13 +175,13 @@ class UnitStore:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.offset, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def add(self, units: list[str]) -> None:
         flat, lengths = self.encode(units)
-        n, m = len(self.index), len(units)
+        n, m = len(self.index) - len(units), len(units)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + m > len(self.offset):
@@ -176,17 +190,16 @@ class UnitStore:
         self.length[n : n + m] = lengths
         self.offset[n : n + m] = self.used + np.cumsum(lengths) - lengths
         self.used += len(flat)
-        self.index.update(zip(units, range(n, n + m), strict=True))
 
     def ids(self, units: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The flat ids of all lists of units, and each list's number of ids."""
         if len(self.index) > self.limit:
             self.clear()
-        new = {u for x in units for u in x}.difference(self.index)
-        if new:
-            self.add(list(new))
-        get = self.index.__getitem__
-        at = np.fromiter((get(u) for x in units for u in x), np.int64)
+        every = list(chain.from_iterable(units))
+        at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+        if self.index.fresh:
+            self.add(self.index.fresh)
+            self.index.fresh = []
         if not len(at):
             return np.zeros(0, np.int32), np.zeros(len(units), np.int64)
         size = self.length[at]

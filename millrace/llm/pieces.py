@@ -68,6 +68,7 @@ class PieceModel:
                     left.append(a), right.append(b), rank.append(order[float(scores[i])]), new.append(i)  # noqa: B018
         self.table = PairTable(*(np.array(x, np.int64) for x in (left, right, rank, new)))
         apart = "\n" if not any("\n" in n and len(n) > 1 for n in self.normal) else ""
+        self.lines = bool(apart)
         self.split = re.compile(f" +[^ {apart}]*|[^ {apart}]+|{apart}" if apart else " +[^ ]*|[^ ]+").findall
         # for decoding: each id's bytes in one array
         texts = [n.replace(MARK, " ").encode() if k == 1 else bytes([int(n[3:-1], 16)]) if k == 6 else spec.unk_surface.encode() if k == 2 else b"" for n, k in zip(names, kinds, strict=True)]
@@ -79,6 +80,8 @@ class PieceModel:
         self.store = UnitStore(self.encode_units)
 
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A unit starts with a line end, or with "\\0" if it must be taken as it is, or else after one space."""
+        units = [u[1:] if u[:1] == "\0" else u if u[:1] == "\n" and self.lines else " " + u for u in units]
         lengths = np.array([len(u) for u in units], np.int64)
         codes = np.frombuffer("".join(units).replace(" ", MARK).encode("utf-32-le"), "<u4")
         flat, sizes = merge_words(self.of_char[codes], lengths, self.table)
@@ -97,8 +100,11 @@ class PieceModel:
     def units(self, text: str | None) -> list[str]:
         if not text:
             return []
-        text = text.replace(MARK, " ")
-        return self.split(" " + text if self.prefix else text)
+        if MARK in text:
+            text = text.replace(MARK, " ")
+        if not self.prefix or not self.lines or "  " in text or text[0] in " \n" or "\0" in text:  # runs of spaces and the like
+            return ["\0" + u for u in self.split(" " + text if self.prefix else text)]
+        return text.replace("\n", " \n").split(" ")
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids with begin and end ids, and each text's number of ids."""

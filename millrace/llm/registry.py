@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import pieces, quality
+from millrace.llm import pieces, quality, store
 from millrace.llm.common import table
 
 
@@ -18,9 +18,14 @@ def op9_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.op10(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece_rounds": op6_sentencepiece_rounds,
     "op9_quality_ftrl": op9_quality_ftrl,
+    "op10_content_store": op10_content_store,
 }
 
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import pieces, quality, store
+from millrace.llm import langid, pieces, quality, store
 from millrace.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op6_sentencepiece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.op6(table(spark, sf_dir, "documents"))
 
 
+def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op8(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,6 +28,7 @@ def op10_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece_rounds": op6_sentencepiece_rounds,
+    "op8_cross_parsing": op8_cross_parsing,
     "op9_quality_ftrl": op9_quality_ftrl,
     "op10_content_store": op10_content_store,
 }

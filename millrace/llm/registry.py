@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import langid, pieces, quality, store
+from millrace.llm import langid, pieces, pii, quality, store
 from millrace.llm.common import table
 
 
+def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op4(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.op6(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,7 @@ def op10_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_weak_supervision": op4_weak_supervision,
     "op6_sentencepiece_rounds": op6_sentencepiece_rounds,
     "op8_cross_parsing": op8_cross_parsing,
     "op9_quality_ftrl": op9_quality_ftrl,

@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import langid, pieces, pii, quality, store
+from millrace.llm import decontam, langid, licenses, pieces, pii, quality, store
 from millrace.llm.common import table
 
 
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.op6(table(spark, sf_dir, "documents"))
 
@@ -31,11 +39,13 @@ def op10_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_spaced_seeds": op2_spaced_seeds,
     "op4_weak_supervision": op4_weak_supervision,
+    "op5_license_rules": op5_license_rules,
     "op6_sentencepiece_rounds": op6_sentencepiece_rounds,
     "op8_cross_parsing": op8_cross_parsing,
     "op9_quality_ftrl": op9_quality_ftrl,
     "op10_content_store": op10_content_store,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_license_rules": licenses.op5_sql()}

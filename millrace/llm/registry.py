@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, langid, licenses, pieces, pii, quality, store
+from millrace.llm import decontam, langid, licenses, neardup, pieces, pii, quality, store
 from millrace.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_sentencepiece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.op6(table(spark, sf_dir, "documents"))
 
 
+def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.op7(table(spark, sf_dir, "documents"))
+
+
 def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op8(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_weak_supervision": op4_weak_supervision,
     "op5_license_rules": op5_license_rules,
     "op6_sentencepiece_rounds": op6_sentencepiece_rounds,
+    "op7_hyperminhash": op7_hyperminhash,
     "op8_cross_parsing": op8_cross_parsing,
     "op9_quality_ftrl": op9_quality_ftrl,
     "op10_content_store": op10_content_store,

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, langid, licenses, neardup, pieces, pii, quality, store
+from millrace.llm import decontam, langid, licenses, lm, neardup, pieces, pii, quality, store
 from millrace.llm.common import table
 
 
+def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,6 +47,7 @@ def op10_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hidden_markov": op1_hidden_markov,
     "op2_spaced_seeds": op2_spaced_seeds,
     "op4_weak_supervision": op4_weak_supervision,
     "op5_license_rules": op5_license_rules,

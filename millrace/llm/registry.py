@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, langid, licenses, lm, neardup, pieces, pii, quality, store
+from millrace.llm import ann, decontam, langid, licenses, lm, neardup, pieces, pii, quality, store
 from millrace.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.op3(table(spark, sf_dir, "embeddings"))
+
+
 def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op4(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hidden_markov": op1_hidden_markov,
     "op2_spaced_seeds": op2_spaced_seeds,
+    "op3_one_bit_codes": op3_one_bit_codes,
     "op4_weak_supervision": op4_weak_supervision,
     "op5_license_rules": op5_license_rules,
     "op6_sentencepiece_rounds": op6_sentencepiece_rounds,

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from millrace.llm.common import pieces as cut
 from millrace.llm.common import document_columns, ship
@@ -213,7 +213,7 @@ def encode(docs: DataFrame, model: str | None = None, with_ids: bool = True) ->
 
     schema = StructType([*docs.schema.fields])
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", ArrayType(IntegerType()))
     return docs.mapInArrow(run, schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))
 
 

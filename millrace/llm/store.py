@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -108,6 +109,7 @@ for _ in range(40):
     _squares.append(_times(_squares[-1], _squares[-1]))
 
 
+@lru_cache(1 << 14)
 def _shift(n_bytes: int) -> int:
     out, k = 1 << 31, 3
     while n_bytes:

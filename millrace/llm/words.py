@@ -18,7 +18,9 @@ import numpy as np
 from millrace.llm.merges import PairTable, UnitStore, merge_words
 
 _LETTERS = "a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĳĵķĸĺļľŀłńņňŋōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž"
-_LATIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ž]+").fullmatch
+_LATIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ž]").fullmatch
+#: Of a byte: 0 letter (all that is no ASCII, as only Latin letters get there), 1 digit, 2 mark, 3 space
+_CLASS = np.array([3 if b == 32 else 1 if 48 <= b <= 57 else 0 if b >= 128 or 97 <= b <= 122 else 2 for b in range(256)], np.uint8)
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+").findall
 #: The normaliser and splitter this fast way stands for.
 _NORMAL = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
@@ -34,6 +36,10 @@ def _byte_signs() -> dict[int, str]:
     return out | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in out)}
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
+
+
 class WordModel:
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer
@@ -57,36 +63,67 @@ class WordModel:
             self.table = PairTable(left, right, np.arange(len(pairs)), new)
             self.fast = bool((self.inner >= 0).all() and (self.final >= 0).all())
         self.checked = False
+        heads = {t[0] for t in self.specials}
+        self.way = np.array([3 if not (c == 32 or _LATIN(chr(c))) else 2 if chr(c) in heads else 1 if c == 39 else 0 for c in range(0x180)] + [3], np.uint8)
         self.store = UnitStore(self.encode_units)
 
     def by_library(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch(units, add_special_tokens=False)]
 
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = [i for i, u in enumerate(units) if _LATIN(u) and not any(t in u for t in self.specials)] if self.fast else []
-        if plain and not self.checked:  # hold the fast way against the library, once a process
-            some = [units[i] for i in plain[:2000]]
-            flat, sizes = self._merge(some)
+        n = len(units)
+        if not self.fast:
+            return _flat(self.by_library(units))
+        # a unit's way is that of its oddest character: rounds, rounds after splitting by pattern, or the library
+        lengths = np.fromiter(map(len, units), np.int64, n) + 1
+        codes = np.frombuffer((" ".join(units) + " ").encode("utf-32-le"), "<u4")
+        way = np.maximum.reduceat(self.way[np.minimum(codes, 0x180)], np.cumsum(lengths) - lengths)
+        for i in np.flatnonzero(way == 2).tolist():
+            way[i] = 3 if any(t in units[i] for t in self.specials) else 1
+        if not self.checked and (way < 3).any():  # hold the fast ways against the library, once a process
             self.checked = True
-            self.fast = [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == self.by_library(some)
-            plain = plain if self.fast else []
-        rest = sorted(set(range(len(units))) - set(plain)) if len(plain) < len(units) else []
-        if not rest:
-            return self._merge(units)
-        slow = self.by_library([units[i] for i in rest])
-        flat, sizes = self._merge([units[i] for i in plain]) if plain else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-        wide = np.zeros(len(units), np.int64)
-        wide[plain], wide[rest] = sizes, [len(x) for x in slow]
-        ends = np.cumsum(wide)
-        out = np.empty(int(ends[-1]), np.int32)
-        fast = np.zeros(len(units), bool)
-        fast[plain] = True
-        spread = np.repeat(fast, wide)
-        out[spread] = flat
-        out[~spread] = np.array([i for x in slow for i in x], np.int32)
-        return out, wide
-
-    def _merge(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            some = [units[i] for i in np.flatnonzero(way < 3)[:1000].tolist()]
+            flat, sizes = self._by_pattern(some)
+            same = [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == self.by_library(some)
+            some = [units[i] for i in np.flatnonzero(way == 0)[:1000].tolist()]
+            flat, sizes = self._by_class(some)
+            self.fast = same and [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == (self.by_library(some) or [[]])
+            if not self.fast:
+                return _flat(self.by_library(units))
+        if not way.any():
+            return self._by_class(units)
+        parts = []
+        for kinds, f in (((0,), self._by_class), ((1,), self._by_pattern), ((3,), lambda x: _flat(self.by_library(x)))):
+            at = np.flatnonzero(np.isin(way, kinds))
+            if len(at):
+                parts.append((at, *f([units[i] for i in at.tolist()])))
+        sizes = np.zeros(n, np.int64)
+        for at, _, size in parts:
+            sizes[at] = size
+        out, first = np.empty(int(sizes.sum()), np.int32), np.cumsum(sizes) - sizes
+        for at, flat, size in parts:
+            out[np.repeat(first[at] - (np.cumsum(size) - size), size) + np.arange(len(flat))] = flat
+        return out, sizes
+
+    def _by_class(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Units without apostrophes: tokens are runs of one class of characters, a digit being one by itself."""
+        if not units:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        data = np.frombuffer((" ".join(units).lower() + " ").encode(), np.uint8)
+        kind = _CLASS[data]
+        start = np.ones(len(data), bool)
+        start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 1)
+        end = np.append(start[1:], True)
+        unit = np.cumsum(kind == 3) - (kind == 3)
+        word = kind != 3
+        symbols = np.where(end, self.final[data], self.inner[data])[word]
+        heads = np.flatnonzero(start[word])
+        flat, sizes = merge_words(symbols, np.diff(np.append(heads, len(symbols))), self.table)
+        return flat, np.bincount(unit[word][heads], sizes, len(units)).astype(np.int64)
+
+    def _by_pattern(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not units:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         parts = [_SPLIT(u.lower()) for u in units]
         raw = [p.encode() for x in parts for p in x]
         lengths = np.array([len(r) for r in raw], np.int64)

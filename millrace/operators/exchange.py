@@ -62,7 +62,7 @@ def apply(df: DataFrame, spec: Spec | str, n: int = 4) -> DataFrame:
         return df  # a join's small side is chosen by its size at run time
     if not spec.bounds:
         return df.repartitionByRange(n, *[F.col(k).asc_nulls_last() for k in spec.keys])
-    return df.withColumn("__at", range_number(spec)).repartitionByRange(len(spec.bounds) + 1, "__at").drop("__at")
+    return df.withColumn("__at", range_number(spec)).repartitionById(len(spec.bounds) + 1, "__at").drop("__at")
 
 
 def range_number(spec: Spec):  # noqa: ANN201

@@ -151,8 +151,11 @@ class Parser:
                 s = state[:, :k]
                 to = self.table[s * self.width + c]
                 miss = to == 0
-                ended[:, :k] += miss
-                state[:, :k] = np.where(miss, self.first[:, c], to)
+                begin = self.first[:, c]
+                # the phrase before ends; a sign that the language lacks is a phrase by itself at once
+                ended[:, :k] += miss & (s != root[:, :k])
+                ended[:, :k] += miss & (begin == root[:, :k])
+                state[:, :k] = np.where(miss, begin, to)
             ended += state != root
             for x in range(n_langs):
                 phrases[:, x] = np.bincount(owner, ended[x], len(codes))

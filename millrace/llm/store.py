@@ -128,6 +128,19 @@ def crc_join(parts: list[tuple[int, int]]) -> int:
     return out
 
 
+#: What a store's tables hold; named, so that empty ones can be read.
+_ROW = "doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary, digest binary, ids binary, wide int"
+SCHEMAS = {
+    "parts": f"{_ROW}, kind int",
+    "recipes": "doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary, wide int, part int, place long",
+    "manifest": "part int, docs long, ids long, wide int, seal long",
+}
+
+
+def _table(spark: SparkSession, where: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{where}/{name}")
+
+
 def _encoded(docs: DataFrame, path: str | None, end: int) -> DataFrame:
     """Rows of two kinds: a recipe for each document, and a chunk the first time that its task meets it."""
     spark = docs.sparkSession
@@ -173,8 +186,7 @@ def _encoded(docs: DataFrame, path: str | None, end: int) -> DataFrame:
                 "wide": pa.array([wide] * (n + k), pa.int32()),
             })
 
-    schema = "kind int, doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary, digest binary, ids binary, wide int"
-    return document_columns(docs, "doc_id", "text").mapInArrow(run, schema)
+    return document_columns(docs, "doc_id", "text").mapInArrow(run, f"kind int, {_ROW}")
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +208,7 @@ def write_store(docs: DataFrame, where: str, tokenizer: str | None = None, end:
     place = F.when(F.col("kind") == 0, F.xxhash64("root", "doc_id")).otherwise(F.xxhash64("digest"))
     both = rows.withColumn("place", place).repartition(n, "place").drop("place").sortWithinPartitions("kind", "digest")
     both.mapInArrow(_first_of_each, both.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{where}/parts")
-    parts = spark.read.schema(both.schema).parquet(f"{where}/parts")
+    parts = _table(spark, where, "parts")
     # recipes in ascending doc_id order; a part's ids are summed first, then each document's within it
     ordered = (
         parts.where("kind = 0").select("doc_id", "n_tokens", "digests", "lengths", "root", "wide")
@@ -204,7 +216,7 @@ def write_store(docs: DataFrame, where: str, tokenizer: str | None = None, end:
         .withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
     )
     ordered.write.option("compression", "zstd").parquet(f"{where}/recipes")
-    recipes = spark.read.schema(ordered.schema).parquet(f"{where}/recipes")
+    recipes = _table(spark, where, "recipes")
     manifest = recipes.groupBy("part").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("ids"), F.max("wide").alias("wide"), F.bit_xor(F.xxhash64("root", "place")).alias("seal"))
     manifest.coalesce(1).write.parquet(f"{where}/manifest")
 
@@ -222,12 +234,12 @@ def _chunk_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chunks(spark: SparkSession, where: str) -> DataFrame:
-    return spark.read.parquet(f"{where}/parts").where("kind = 1").select("digest", "ids", "wide")
+    return _table(spark, where, "parts").where("kind = 1").select("digest", "ids", "wide")
 
 
 def _starts(spark: SparkSession, where: str) -> DataFrame:
     """Recipes with `start`: the parts before, from the manifest, and the documents before within the part."""
-    recipes, manifest = (spark.read.parquet(f"{where}/{x}") for x in ("recipes", "manifest"))
+    recipes, manifest = (_table(spark, where, x) for x in ("recipes", "manifest"))
     # a row for each part: its number is the session's number of shuffle partitions at most
     before = manifest.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("place")) - F.col("n_tokens")

@@ -1,0 +1,125 @@
+"""Encoders against their libraries, and the token store's round trip."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from millrace.llm import merges, pieces, store, words
+
+rnd = random.Random(5)
+STRANGE = ["", " ", "  a  b ", "\n\n x", "▁▁x", " " * 900 + "the" * 400, "\t\tin\r\n", "def f(x):\n    return  x\n", "don't I'll <|endoftext|> x<|startoftext|>", "é ́a ΑΣ İI ﬁ ² ½", "a\x00b \x1c c"]
+STRANGE += ["".join(rnd.choice("abcetns \n日é😀'.0$%!É<|>") for _ in range(rnd.randrange(60))) for _ in range(800)]
+STRANGE += ["".join(rnd.choice("eatnsori") for _ in range(rnd.randrange(1500))) for _ in range(10)]
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def split(flat, sizes):
+    ends = np.cumsum(sizes)
+    return [flat[e - s : e].tolist() for e, s in zip(ends, sizes, strict=True)]
+
+
+def test_pieces_equal_the_library(library, corpus):
+    texts = [t for _, t, *_ in corpus] + STRANGE
+    model = pieces.PieceModel(pieces.model_bytes())
+    flat, sizes = model.encode(texts)
+    for text, got, back in zip(texts, split(flat, sizes), model.decode(flat, sizes), strict=True):
+        want = library.encode(text or "", add_bos=True, add_eos=True)
+        assert got == want and back == library.decode(want)
+
+
+def test_decode_any_ids(library):
+    model = pieces.PieceModel(pieces.model_bytes())
+    for _ in range(2000):
+        ids = [rnd.choice([0, 1, 2, rnd.randrange(3, 259), rnd.randrange(3, 259), rnd.randrange(259, 32000), 29871]) for _ in range(rnd.randrange(12))]
+        assert model.decode(np.array(ids, np.int32), np.array([len(ids)])) == [library.decode(ids)]
+
+
+def test_rounds_equal_the_heap():
+    model = pieces.PieceModel(pieces.model_bytes())
+    units = ["".join(rnd.choice("theranding") for _ in range(rnd.randrange(1, 200))) for _ in range(200)]
+    symbols = [model.of_char[[ord(c) for c in u]] for u in units]
+    flat, sizes = merges.merge_words(np.concatenate(symbols), np.array([len(u) for u in units]), model.table)
+    assert split(flat, sizes) == [merges.merge_word(s.tolist(), model.table) for s in symbols]
+
+
+def test_store_of_units_forgets():
+    model = pieces.PieceModel(pieces.model_bytes())
+    model.store.limit = 5
+    texts = ["one two three four five six seven", "one nine ten"]
+    first = [split(*model.encode(texts)) for _ in range(3)]
+    assert first[0] == first[1] == first[2]
+
+
+def test_op6(docs, corpus, none, library):
+    got = {(r.doc_id, r.ids_sha256) for r in pieces.op6(docs).collect()}
+    want = {(i, hashlib.sha256(np.array(library.encode(t or "", add_bos=True, add_eos=True), "<u4").tobytes()).hexdigest()) for i, t, *_ in corpus}
+    assert got == want and pieces.op6(none).count() == 0
+
+
+def test_words_equal_the_library(corpus):
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        model = words.WordModel(f.read())
+    assert model.fast
+    texts = [t for _, t, *_ in corpus] + STRANGE
+    for text, got in zip(texts, split(*model.encode(texts)), strict=True):
+        assert got == model.library.encode(text or "", add_special_tokens=False).ids, text
+    assert model.fast  # it also held against the library at run time
+
+
+def test_crc_join():
+    data = [bytes(rnd.randrange(256) for _ in range(rnd.randrange(50))) for _ in range(20)]
+    assert store.crc_join([(zlib.crc32(d), len(d)) for d in data]) == zlib.crc32(b"".join(data))
+
+
+def test_cuts_are_local_and_bounded():
+    ids = np.array([rnd.randrange(49000) for _ in range(20_000)], np.int32)
+    ends = store.cut_points(np.concatenate([ids, ids[500:]]), np.array([20_000, 19_500]))
+    sizes = np.diff([0, *ends[0]])
+    assert ends[0][-1] == 20_000 and ends[1][-1] == 39_500 and sizes.max() <= store.MOST and (sizes[:-1] >= store.LEAST).all()
+    a, b = {e for e in ends[0] if e > 6000}, {e - 19_500 for e in ends[1] if e - 19_500 > 6000}
+    assert a == b  # a text that starts elsewhere is cut at the same ids
+    same = store.cut_points(np.full(50_000, 7, np.int32), np.array([50_000]))[0]
+    assert same[-1] == 50_000 and np.diff([0, *same]).max() <= store.MOST
+
+
+def test_op10_and_reconstruction(spark, docs, corpus, none, tmp_path):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 2]
+    plain = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    where = f"file://{tmp_path}/store"
+    store.write_store(plain, where)
+    got = sorted(store.read_back(spark, where).collect())
+    texts = {i: t for i, t, *_ in corpus if i is not None}
+    at = 0
+    for r, i in zip(got, sorted(texts), strict=True):
+        want = ids(texts[i])
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+        at += len(want)
+    assert {r.doc_id: r.ids for r in store.reconstruct(spark, where).collect()} == {i: ids(t) for i, t in texts.items()}
+    chunks = spark.read.parquet(f"{where}/parts").where("kind = 1")
+    assert chunks.count() == chunks.select("digest").distinct().count()
+    assert store.op10(none).count() == 0
+    assert store.op10(docs).agg(F.sum("n_tokens")).first()[0] == sum(len(ids(t)) for _, t, *_ in corpus)
+
+
+def test_damage_is_found(spark, docs, tmp_path):
+    where = f"file://{tmp_path}/store"
+    store.write_store(docs.limit(5), where)
+    chunks = spark.read.parquet(f"{where}/parts")
+    bad = chunks.withColumn("ids", F.when(F.col("kind") == 1, F.expr("cast('zz' as binary)")))
+    bad.write.partitionBy("kind").parquet(f"{where}2/parts")
+    for t in ("recipes", "manifest"):
+        spark.read.parquet(f"{where}/{t}").write.parquet(f"{where}2/{t}")
+    with pytest.raises(Exception, match="does not match"):
+        store.read_back(spark, f"{where}2").collect()

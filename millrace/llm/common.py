@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one Python step holds at a time.
 BATCH_BYTES = 12 << 20
+#: Rows of an Arrow batch: Spark builds each outside its heap, and a row may be a long text.
+ARROW_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,8 +78,9 @@ def forget(df: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application."""
+    """Send this package to the executors once per application, and keep Arrow batches of texts small."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     if getattr(context, "_millrace_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -100,6 +103,18 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most `n` rows, those of least hashed `key` (then key).
+
+    Rows are first filtered by a bound on the hash that about 4 n of all rows meet, so that the tasks
+    together send some multiples of n rows, however many tasks there are.
+    """
+    share = min(1.0, 4.0 * n / max(df.count(), 1))
+    hashed = F.xxhash64(key)
+    few = df if share == 1.0 else df.where(F.pmod(hashed, F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    return few.orderBy(F.pmod(hashed, F.lit(1 << 40)), key).limit(n)
+
+
 def document_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: others, whatever they are called, play no part."""
     return docs.select(*[F.col(f"`{n}`") for n in names])

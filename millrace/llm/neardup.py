@@ -76,13 +76,14 @@ def _banded(classes: DataFrame) -> DataFrame:
             if b.num_rows:
                 sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(b.num_rows, -1)
                 keys = S.band_keys(sig)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column("rep").to_numpy(), keys.shape[1]))], ["key", "rep"])
+                each = [np.repeat(b.column(c).to_numpy(), keys.shape[1]) for c in ("rep", "n")]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *each, np.zeros(keys.size, np.int32))], ["key", "rep", "n", "place"])
 
-    return classes.mapInArrow(run, "key long, rep long")
+    return classes.mapInArrow(run, "key long, rep long, n long, place int")
 
 
 def _stars(keyed: DataFrame) -> DataFrame:
-    """(key, rep, hub) of the keys that two or more classes share; the hub is the least of them."""
+    """Rows of the keys that two or more classes share, with the key's hub: the least class of them."""
     hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
     return keyed.join(hubs, "key")
 
@@ -137,21 +138,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _across(keyed: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of buckets (key, rep) that hold several components: members of small ones, and of larger ones."""
+    """Of buckets that hold several components: members of small ones, and of larger ones."""
     held = keyed.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    held = write_table(held.select("key", "rep", "label"), "buckets")
+    held = write_table(held.select("key", "rep", "n", "place", "label"), "buckets")
     mixed = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi")
     return held.join(mixed.where(f"size <= {SMALL}").select("key"), "key"), held.join(mixed.where(f"size > {SMALL}").select("key"), "key")
 
 
-def _meet(small: DataFrame) -> DataFrame:
-    """All pairs across components within small buckets: at most SMALL - 1 for each row."""
-    other = small.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"))
-    return small.select("key", F.col("rep").alias("a"), "label").join(other, "key").where("label <> lb and a < b").select("a", "b").distinct()
+def _meet(bucket: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs across components within buckets, but those whose sizes rule a link out.
+
+    `place` is how many rarer shingles each set has before the shared one: a pair's first common shingle leaves room for enough
+    common ones after it (bands have place 0, where this says nothing beyond the sizes).
+    """
+    other = bucket.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    room = F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb"))
+    near = (F.least("n", "nb") * den >= F.greatest("n", "nb") * num) & (room * (num + den) >= (F.col("n") + F.col("nb")) * num)
+    one = bucket.withColumnRenamed("rep", "a").withColumnRenamed("key", "ka")
+    return one.join(other, (F.col("ka") == F.col("key")) & (F.col("label") != F.col("lb")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, rep): each set's rarest shingles, so many that two linked sets must share one."""
+    """(key, rep, n, place): each set's rarest shingles, so many that two linked sets must share one."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,8 +172,8 @@ def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     ranked = rows.join(counts.where("n > 1"), "key", "left").select("rep", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "key").alias("s"))
     size = F.size("all")
     first = F.slice("all", F.lit(1), size - F.ceil(size * num / den).cast("int") + 1)
-    kept = ranked.groupBy("rep").agg(F.sort_array(F.collect_list("s")).alias("all")).select("rep", F.explode_outer(first).alias("s"))
-    return kept.where("s.n > 1").select("s.key", "rep")
+    kept = ranked.groupBy("rep").agg(F.sort_array(F.collect_list("s")).alias("all")).select("rep", size.cast("long").alias("n"), F.posexplode_outer(first).alias("place", "s"))
+    return kept.where("s.n > 1").select("s.key", "rep", "n", "place")
 
 
 def grouped(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -177,8 +185,8 @@ def grouped(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     seen = write_table(signed(docs, k), "signed")
     every = seen.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("node").alias("rep"), F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first"), F.count("*").alias("size"))
     every = write_table(every, "classes")
-    classes = write_table(seen.join(every.select(F.col("rep").alias("node")), "node", "left_semi").select(F.col("node").alias("rep"), "sig").dropDuplicates(["rep"]), "representatives")
-    keyed = write_table(_stars(_banded(classes)).select("key", "rep", "hub"), "stars")
+    classes = write_table(seen.join(every.select(F.col("rep").alias("node")), "node", "left_semi").select(F.col("node").alias("rep"), "n", "sig").dropDuplicates(["rep"]), "representatives")
+    keyed = write_table(_stars(_banded(classes)).drop("size"), "stars")
     pairs = write_table(_estimated(keyed.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), classes, least), "pairs")
     _release(docs)
     sets = write_table(full_sets(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), k), "sets")
@@ -186,20 +194,20 @@ def grouped(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     links = write_table(_verified(pairs, sets, num, den), "links")
     labels = components(links)
     _release(docs)
-    small, large = _across(keyed.select("key", "rep"), labels)
-    more = _estimated(_meet(small).join(pairs, ["a", "b"], "left_anti"), classes, least)
+    small, large = _across(keyed, labels)
+    more = _estimated(_meet(small, num, den).join(pairs, ["a", "b"], "left_anti"), classes, least)
     crowd = write_table(large.select("rep").distinct(), "crowd")
     if not crowd.isEmpty():
         # exact for all that the larger buckets hold: a prefix filter over their full sets, in the same two steps
         forget(sets)
         reps = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(crowd).distinct()
         sets = write_table(full_sets(docs, reps, k), "sets")
-        rare = write_table(_stars(_prefixes(sets.join(crowd, "rep", "left_semi"), num, den)).select("key", "rep", "hub"), "prefixes")
+        rare = write_table(_stars(_prefixes(sets.join(crowd, "rep", "left_semi"), num, den)).drop("size"), "prefixes")
         star = write_table(_estimated(rare.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), classes, least), "pairs")
         links = write_table(links.union(_verified(star, sets, num, den)), "links")
         labels = components(links)
-        small, large = _across(rare.select("key", "rep"), labels)
-        more = more.union(_estimated(_meet(small), classes, least)).union(_estimated(_meet(large), classes, least))
+        small, large = _across(rare, labels)
+        more = more.union(_estimated(_meet(small, num, den), classes, least)).union(_estimated(_meet(large, num, den), classes, least))
     more = write_table(more.distinct(), "pairs")
     if not more.isEmpty():
         missing = more.select(F.col("a").alias("rep")).union(more.select("b")).distinct().join(sets.select("rep"), "rep", "left_anti")

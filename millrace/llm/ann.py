@@ -25,13 +25,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import document_columns, forget, ship, write_table
+from millrace.llm.common import document_columns, forget, sampled, ship, write_table
 
-SAMPLE, CENTRES, QUERIES, PLANES = 4096, 32, 4096, 4
+SAMPLE, CENTRES, QUERIES, PLANES = 4096, 32, 2048, 4
 #: Half-width of the bound in standard errors.
-SURE = 3.0
-#: Vectors that meet a block of queries at a time, so a step's matrices stay small.
-ROWS = 1024
+SURE = 2.2
+#: Vectors that meet a block of queries at a time, and pairs that are scored at a time: bounds of memory.
+ROWS, PAIRS = 2048, 50_000
 
 
 def valid(df: DataFrame) -> DataFrame:
@@ -58,11 +58,6 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def cosine(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact cosines, each row summed alike, so equal rows score equally."""
-    return (rows * query).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((query * query).sum()))
-
-
 class Codec:
     """The rotation, and the rotated centres of a bounded sample."""
 
@@ -93,33 +88,44 @@ class Codec:
 
 
 class Block:
-    """A block of queries, ready to meet codes: for each cluster the residual's bit planes."""
+    """A block of queries, ready to meet codes; each cluster's bit planes are made when first met."""
 
     def __init__(self, codec: Codec, ids: np.ndarray, vectors: np.ndarray):
         self.codec, self.ids, self.vectors = codec, ids, vectors
         self.turned = codec.rotate(vectors)
+        self.norms = np.sqrt((vectors * vectors).sum(1))
+        self.made: dict[int, tuple] = {}
+
+    def planes(self, cluster: int) -> tuple:
+        """Packed bit planes of the queries' residuals to a centre, their scales and offsets."""
+        if cluster not in self.made:
+            codec, top = self.codec, (1 << PLANES) - 1
+            q = self.turned - codec.centres[cluster]
+            low, step = q.min(1), np.maximum((q.max(1) - q.min(1)) / top, 1e-12)
+            levels = np.clip(np.rint((q - low[:, None]) / step[:, None]), 0, top).astype(np.uint8)
+            packed = [np.packbits((levels >> p) & 1, axis=1, bitorder="little").view("<u8") for p in range(PLANES)]
+            total = levels.sum(1, dtype=np.int64) * step + low * codec.wide
+            self.made[cluster] = packed, low, step, total, np.sqrt((q * q).sum(1)), self.turned @ codec.centres[cluster]
+        return self.made[cluster]
 
     def bounds(self, cluster: int, codes: np.ndarray, length: np.ndarray, own: np.ndarray, inner: np.ndarray) -> np.ndarray:
         """Upper bounds of cosines, queries by rows, against one cluster's codes."""
-        codec, top = self.codec, (1 << PLANES) - 1
-        centre = codec.centres[cluster]
-        q = self.turned - centre
-        low, step = q.min(1), np.maximum((q.max(1) - q.min(1)) / top, 1e-12)
-        levels = np.clip(np.rint((q - low[:, None]) / step[:, None]), 0, top).astype(np.uint8)
-        ones = np.bitwise_count(codes).sum(1)
-        hits = np.zeros((len(q), len(codes)))
-        for p in range(PLANES):
-            plane = np.packbits((levels >> p) & 1, axis=1, bitorder="little").view("<u8")
+        packed, low, step, total, far, at_centre = self.planes(cluster)
+        wide = self.codec.wide
+        hits = np.zeros((len(low), len(codes)), np.uint32)
+        for p, plane in enumerate(packed):
             for w in range(codes.shape[1]):
-                hits += np.bitwise_count(plane[:, w, None] & codes[None, :, w]) * float(1 << p)
+                hits += np.bitwise_count(plane[:, w, None] & codes[None, :, w]).astype(np.uint32) << np.uint32(p)
         # signed code = 2 * bits - 1, so <code, q> = 2 <bits, q> - sum(q), by levels and their offset
-        total = levels.sum(1, dtype=np.int64) * step + low * codec.wide
-        meet = (2 * (step[:, None] * hits + low[:, None] * ones) - total[:, None]) / np.sqrt(codec.wide)
-        far = np.sqrt((q * q).sum(1))
-        guess = inner + (self.turned @ centre)[:, None] + length * meet / np.maximum(own, 1e-9)
-        spread = np.sqrt(np.maximum(1 - own**2, 0)) / np.maximum(own, 1e-9) * SURE / np.sqrt(max(codec.wide - 1, 1))
-        rounding = step[:, None] * 0.5 * SURE / np.maximum(own, 1e-9)  # of the queries' levels
-        return guess + length * (far[:, None] * spread + rounding) + 1e-9
+        gain = length / np.maximum(own, 1e-9)
+        ones = np.bitwise_count(codes).sum(1)
+        guess = hits * (2 * step[:, None]) + (2 * low[:, None] * ones - total[:, None])
+        guess *= gain / np.sqrt(wide)
+        guess += inner + at_centre[:, None]
+        spread = gain * np.sqrt(np.maximum(1 - own**2, 0)) * SURE / np.sqrt(max(wide - 1, 1))
+        rounding = gain * SURE * 0.29  # of the queries' levels, evenly spread over a step
+        guess += far[:, None] * spread + step[:, None] * rounding + 1e-9
+        return guess
 
 
 def index(df: DataFrame, codec: Codec) -> DataFrame:
@@ -138,42 +144,66 @@ def index(df: DataFrame, codec: Codec) -> DataFrame:
 
 
 class Best:
-    """The best `top` candidates of each query of a block so far."""
-
-    def __init__(self, n: int, top: int):
-        self.top, self.found = top, [[] for _ in range(n)]
-        self.worst = np.full(n, -np.inf)
-
-    def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        rows = sorted([*self.found[q], *zip((-scores).tolist(), ids.tolist(), strict=True)])[: self.top]
-        self.found[q] = rows
-        if len(rows) == self.top:
-            self.worst[q] = -rows[-1][0]
+    """The best `top` candidates of each query of a block so far, better first."""
+
+    def __init__(self, block: Block, top: int):
+        self.block, self.top = block, top
+        self.found: list[list[tuple[float, int]]] = [[] for _ in block.ids]
+        self.worst = np.full(len(block.ids), -np.inf)
+
+    def offer(self, q: np.ndarray, row: np.ndarray, v: np.ndarray, norms: np.ndarray, ids: np.ndarray) -> None:
+        """Score pairs of queries and rows exactly, and keep what belongs among the best."""
+        for i in range(0, len(q), PAIRS):
+            a, b = q[i : i + PAIRS], row[i : i + PAIRS]
+            scores = (v[b] * self.block.vectors[a]).sum(1) / (norms[b] * self.block.norms[a])
+            keep = np.flatnonzero(scores >= self.worst[a])
+            keep = keep[np.argsort(a[keep], kind="stable")]
+            for part in np.split(keep, np.flatnonzero(np.diff(a[keep])) + 1) if len(keep) else []:
+                k = int(a[part[0]])
+                best = sorted([*self.found[k], *zip((-scores[part]).tolist(), ids[b[part]].tolist(), strict=True)])[: self.top]
+                self.found[k] = best
+                if len(best) == self.top:
+                    self.worst[k] = -best[-1][0]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= ROWS:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _search(held, top: int):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = held.value
-        best = Best(len(block.ids), top)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                v, ids, cluster = matrix(b.column("v"), block.codec.dims), b.column("vec_id").to_numpy(), b.column("cluster").to_numpy()
-                codes = np.frombuffer(b"".join(b.column("code").to_pylist()), "<u8").reshape(b.num_rows, -1)
-                length, own, inner = (b.column(c).to_numpy() for c in ("length", "own", "inner"))
-                for c in np.unique(cluster).tolist():
-                    rows = np.flatnonzero(cluster == c)
-                    upper = block.bounds(c, codes[rows], length[rows], own[rows], inner[rows])
-                    hopeful = upper >= best.worst[:, None]
-                    for q in np.flatnonzero(hopeful.any(1)).tolist():
-                        here = np.flatnonzero(hopeful[q] & (ids[rows] != block.ids[q]))
-                        here = here[np.argsort(-upper[q, here], kind="stable")]  # most hopeful first: after them few bounds still reach the fifth best
-                        near, bound = rows[here], upper[q, here]
-                        for i in range(0, len(near), 64):
-                            if bound[i] < best.worst[q]:
-                                break
-                            part = near[i : i + 64]
-                            best.add(q, cosine(v[part], block.vectors[q]), ids[part])
+        best = Best(block, top)
+        for b in _gathered(batches):
+            column = lambda c, b=b: b.column(c).chunk(0)
+            v, ids, cluster = matrix(column("v"), block.codec.dims), column("vec_id").to_numpy(), column("cluster").to_numpy()
+            norms = np.sqrt((v * v).sum(1))
+            codes = np.frombuffer(b"".join(column("code").to_pylist()), "<u8").reshape(b.num_rows, -1)
+            length, own, inner = (column(c).to_numpy() for c in ("length", "own", "inner"))
+            for c in np.unique(cluster).tolist():
+                rows = np.flatnonzero(cluster == c)
+                upper = block.bounds(c, codes[rows], length[rows], own[rows], inner[rows])
+                mine = np.searchsorted(block.ids, ids[rows])
+                self_at = np.flatnonzero(block.ids[np.minimum(mine, len(block.ids) - 1)] == ids[rows])
+                upper[mine[self_at], self_at] = -np.inf  # a query is no candidate of its own
+                # the most hopeful rows first, so that few of the others still reach the worst of the best
+                few = min(2 * top, len(rows))
+                first = np.argpartition(upper, len(rows) - few, axis=1)[:, len(rows) - few :]
+                at = np.repeat(np.arange(len(upper)), few)
+                reach = upper[at, first.ravel()]
+                take = (reach >= best.worst[at]) & (reach > -np.inf)
+                best.offer(at[take], rows[first.ravel()[take]], v, norms, ids)
+                upper[at, first.ravel()] = -np.inf
+                q, near = np.nonzero((upper >= best.worst[:, None]) & (upper > -np.inf))
+                best.offer(q, rows[near], v, norms, ids)
         rows = [(int(block.ids[q]), i, -s) for q, found in enumerate(best.found) for s, i in found]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["query_id", "vec_id", "score"])
 
@@ -188,10 +218,10 @@ def search(df: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
     dims = rows.agg(F.max(F.size("v"))).first()[0]
     if dims is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # SAMPLE rows
+    sample = sampled(rows, "vec_id", SAMPLE).collect()  # SAMPLE rows
     padded = lambda rs: np.array([[*r.v, *[0.0] * (dims - len(r.v))] for r in rs]).reshape(-1, dims)
     codec = Codec(padded(sample), dims)
-    table = write_table(index(rows, codec), "codes")
+    table = write_table(index(rows, codec).sortWithinPartitions("cluster"), "codes")  # so that what meets the queries is mostly of one cluster
     asked = valid(queries).where(F.size("v") <= dims).groupBy("vec_id").agg(F.min("v").alias("v"))
     found, last = [], None
     while True:

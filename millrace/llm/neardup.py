@@ -36,6 +36,8 @@ from millrace.llm.graph import components
 MARGIN = 0.16
 #: Buckets of at most so many classes compare all of them across components.
 SMALL = 48
+#: Cells that count shingles for the prefix filter's order.
+CELLS = 1 << 16
 
 
 def _release(df: DataFrame) -> None:
@@ -158,22 +160,50 @@ def _meet(bucket: DataFrame, num: int, den: int) -> DataFrame:
     return one.join(other, (F.col("ka") == F.col("key")) & (F.col("label") != F.col("lb")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
+def _cell(h: np.ndarray) -> np.ndarray:
+    return (S.mix(h ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(CELLS)).astype(np.int64)
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each of CELLS cells occur: a bounded table however many sets there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for raw in b.column("set").to_pylist():
+                total += np.bincount(_cell(np.frombuffer(raw, "<u8")), minlength=CELLS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "n"])
+
+    out = np.zeros(CELLS, np.int64)
+    for cell, n in sets.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+        out[cell] = n
+    return out
+
+
 def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, rep, n, place): each set's rarest shingles, so many that two linked sets must share one."""
+    """(key, rep, n, place): each set's first shingles, so many that two linked sets must share one.
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Any order that all sets share keeps this exact; the one by cell frequency, then hash, puts what many
+    sets share last.
+    """
+    held = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            keys, reps, sizes, places = [], [], [], []
             for rep, raw in zip(b.column("rep").to_pylist(), b.column("set").to_pylist(), strict=True):
-                h = np.frombuffer(raw, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), rep))], ["key", "rep"])
-
-    rows = sets.mapInArrow(explode, "key long, rep long")
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
-    ranked = rows.join(counts.where("n > 1"), "key", "left").select("rep", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "key").alias("s"))
-    size = F.size("all")
-    first = F.slice("all", F.lit(1), size - F.ceil(size * num / den).cast("int") + 1)
-    kept = ranked.groupBy("rep").agg(F.sort_array(F.collect_list("s")).alias("all")).select("rep", size.cast("long").alias("n"), F.posexplode_outer(first).alias("place", "s"))
-    return kept.where("s.n > 1").select("s.key", "rep", "n", "place")
+                h = np.frombuffer(raw, "<u8")
+                m = len(h) + (-len(h) * num) // den + 1  # less the ceiling of the share that must be common
+                first = h[np.lexsort((h, held.value[_cell(h)]))[:m]]
+                keys.append(first.view("<i8"))
+                reps.append(np.full(len(first), rep))
+                sizes.append(np.full(len(first), len(h)))
+                places.append(np.arange(len(first), dtype=np.int32))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, reps, sizes, places)], ["key", "rep", "n", "place"])
+
+    return sets.mapInArrow(run, "key long, rep long, n long, place int")
 
 
 def grouped(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

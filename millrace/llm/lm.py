@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import document_columns, pieces, remainder, ship, write_table
+from millrace.llm.common import document_columns, pieces, remainder, sampled, ship, write_table
 
 STATES, HOT, CLASSES, ROUNDS, SEGMENT = 8, 1 << 15, 1 << 15, 2, 256
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ROUNDS = 600, 20_000, 12
@@ -201,17 +201,24 @@ def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Traine
     ship(spark)
     counts = write_table(docs.select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(HOT).collect()  # at most HOT rows
+    # the HOT words: from whole bins of the logarithm of the count, the greatest first, as many as fit
+    step = F.floor(F.log2("c") * 32)
+    cut, held = None, 0
+    for b, n in sorted(counts.groupBy(step.alias("b")).count().collect(), reverse=True):  # at most 32 x 64 rows
+        held += n
+        if held > HOT:
+            break
+        cut = b
+    top = sorted(counts.where(step >= cut).collect(), key=lambda r: (-r.c, r.word)) if cut is not None else []  # at most HOT rows
     hot = {bytes(r.word): i for i, r in enumerate(top)}
     mass = np.zeros(HOT + CLASSES)
     mass[: len(top)] = [r.c + 1 for r in top]
-    last = top[-1] if top else None
-    rare = counts.where((F.col("c") < last.c) | ((F.col("c") == last.c) & (F.col("word") > F.lit(bytes(last.word))))) if last else counts
+    rare = counts.where(step < cut) if cut is not None else counts
     key = F.crc32(F.expr("substring(word, -3, 3)")) % CLASSES
     for k, m in rare.groupBy(key.alias("k")).agg(F.sum(F.col("c") + 1)).collect():  # at most CLASSES rows
         mass[HOT + k] = m
     share = (mass + 1) / (mass + 1).sum()
-    sample = docs.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).select("text")
+    sample = sampled(docs.where(F.length("text") <= SAMPLE_CHARS), "doc_id", SAMPLE_DOCS)
     model = first_model([r.text for r in sample.collect()], hot, share, states)
     sums = [F.sum(F.col("v")[s]).alias(f"v{s}") for s in range(states)]
     for _ in range(rounds):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.common import document_columns, pieces, remainder, ship
+from millrace.llm.common import document_columns, pieces, remainder, sampled, ship
 
 BITS = 18
 MAX_TRAIN = 4000
@@ -145,8 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits:
     chosen = (
         document_columns(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").where(remainder(F.col("doc_id"), 3) != 1)
         .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     )
+    chosen = sampled(chosen, "doc_id", max_train)
     # at most max_train rows of 16 bytes: a proven bound
     sample = document_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_train)
 

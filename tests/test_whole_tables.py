@@ -1,10 +1,10 @@
-"""The operators behind join_multi_key and join_timestamp_key over whole tables, against DuckDB."""
+"""The operators behind join_multi_key, join_timestamp_key and sort_multi over whole tables, against DuckDB."""
 
 import duckdb
 from pyspark.sql import functions as F
 
 from millrace import queries as core
-from millrace.operators.relational import aggregate, join
+from millrace.operators.relational import aggregate, join, sort
 
 DATA = "/root/testdata/sf0.001"
 
@@ -30,3 +30,9 @@ def test_timestamp_key_join(spark):
     # counted by date first, the same number
     a, b = aggregate(t.orders, ["o_orderdate"], [("count", "*", "a")]), aggregate(t.lineitem, ["l_shipdate"], [("count", "*", "b")])
     assert [tuple(r) for r in join(a, b, [("o_orderdate", "l_shipdate")], "b").agg(F.sum(F.col("a") * F.col("b"))).collect()] == want
+
+
+def test_sort_keeps_all_rows_with_nulls_last(spark):
+    got = [tuple(r) for r in sort(core.status(core.Tables(spark, DATA)), "st", ("o_orderkey", "desc")).select("st", "o_orderkey").collect()]
+    assert got == rows("SELECT nullif(o_orderstatus, 'P') AS st, o_orderkey FROM orders ORDER BY st ASC NULLS LAST, o_orderkey DESC")
+    assert got[0][0] == "F" and got[-1][0] is None

@@ -7,7 +7,8 @@ the language with the least wins, ties going to the lesser name.
 
 Texts are brought to lower-case letters with single spaces for all else. Long texts are parsed whole,
 in blocks of BLOCK signs, a phrase ending at a block's end; so a batch's blocks walk all automata side by side in numpy,
-one gather a step. Training takes whole documents of least hashed id, up to DOCS documents and CHARS
+one gather a step. Every letter of the training texts has a sign: moves by the LETTERS most frequent lie in a full table,
+moves by all others in a sorted list, searched only where a text has such a letter. Training takes whole documents of least hashed id, up to DOCS documents and CHARS
 signs a language: a fixed bound on what is broadcast. Scoring is one pass without a shuffle.
 
 Defined results: `und` with score 0 for a null text, one without a letter, or no training text at all.
@@ -78,7 +79,7 @@ def suffix_automaton(signs: list[int]) -> list[dict[int, int]]:
 
 
 class Parser:
-    """All languages' automata in one table. State 0 is "no match"; sign 0 is unknown, 1 the space."""
+    """All languages' automata in one table and one list. State 0 is "no match"; sign 0 is unknown, 1 the space."""
 
     def __init__(self, texts: dict[str, list[str]], chars: int = CHARS, letters: int = LETTERS):
         held, count = {}, {}
@@ -95,42 +96,58 @@ class Parser:
                 for c, k in zip(*np.unique(x, return_counts=True), strict=True):
                     count[int(c)] = count.get(int(c), 0) + int(k)
         self.langs = [x for x in held if sum(map(len, held[x]))]
-        top = sorted((c for c in count if c), key=lambda c: (-count[c], c))[:letters]
-        self.sign = {0: 1} | {c: i + 2 for i, c in enumerate(top)}
-        self.width = len(top) + 2
+        known = sorted((c for c in count if c), key=lambda c: (-count[c], c))
+        self.sign = {0: 1} | {c: i + 2 for i, c in enumerate(known)}
+        self.signs, self.width = len(known) + 2, min(len(known), letters) + 2
         tables, self.start, self.weight, at = [np.zeros((1, self.width), np.int32)], [], [], 1
+        rare: list[tuple[int, int]] = []
         for lang in self.langs:
             signs = []
             for x in held[lang]:
-                signs += [self.sign.get(int(c), 0) for c in x] + [1]
+                signs += [self.sign[int(c)] for c in x] + [1]
             auto = suffix_automaton(signs)
             t = np.zeros((len(auto), self.width), np.int32)
             for s, go in enumerate(auto):
                 for c, z in go.items():
-                    if c:
+                    if c < self.width:
                         t[s, c] = at + z
+                    else:
+                        rare.append(((at + s) * self.signs + c, at + z))
             tables.append(t)
             self.start.append(at)
             self.weight.append(float(np.log2(len(signs) + 1)))
             at += len(auto)
         self.table = np.concatenate(tables).ravel()
+        rare.sort()
+        self.keys, self.goes = np.array([k for k, _ in rare], np.int64), np.array([z for _, z in rare], np.int32)
 
     def open(self) -> None:
         """After the journey to a worker: the code-point table and each language's first steps."""
-        self.of = np.zeros(0x110000, np.uint8)
+        self.of = np.zeros(0x110000, np.int32)
         for c, s in self.sign.items():
             self.of[c] = s
         start = np.array(self.start, np.int32)
-        first = self.table[start[:, None] * self.width + np.arange(self.width)]
+        first = self._moves(np.repeat(start[:, None], self.signs, 1), np.arange(self.signs, dtype=np.int32))
         self.first = np.where(first == 0, start[:, None], first).astype(np.int32)  # an unknown sign is a phrase of its own
 
+    def _moves(self, states: np.ndarray, signs: np.ndarray) -> np.ndarray:
+        """States (language, place) after each place's sign; 0 where there is no move."""
+        rare = np.flatnonzero(signs >= self.width) if len(self.keys) else []
+        if not len(rare):
+            return self.table[states * self.width + signs]
+        to = self.table[states * self.width + np.where(signs < self.width, signs, 0)]
+        key = states[:, rare].astype(np.int64) * self.signs + signs[rare]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        to[:, rare] = np.where(self.keys[at] == key, self.goes[at], 0)
+        return to
+
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a sign, by text and language, and which texts have a letter."""
         codes = [plain(t) if t else np.zeros(0, np.int32) for t in texts]
         letters = np.array([bool((c != 0).any()) for c in codes])
         n_langs = len(self.langs)
         sizes = np.array([len(c) for c in codes], np.int64)
-        signs = self.of[np.concatenate(codes)] if len(codes) else np.zeros(0, np.uint8)
+        signs = self.of[np.concatenate(codes)] if len(codes) else np.zeros(0, np.int32)
         starts, lens, owner = [], [], []
         at = 0
         for i, n in enumerate(sizes.tolist()):
@@ -149,7 +166,7 @@ class Parser:
                 k = int(active[t])
                 c = signs[starts[:k] + t]
                 s = state[:, :k]
-                to = self.table[s * self.width + c]
+                to = self._moves(s, c)
                 miss = to == 0
                 begin = self.first[:, c]
                 # the phrase before ends; a sign that the language lacks is a phrase by itself at once

@@ -82,6 +82,25 @@ def test_parse_equals_longest_matches():
             assert math.isclose(bits[i, x], n * p.weight[x] / len(plain)), (lang, t)
 
 
+def test_every_trained_letter_is_evidence():
+    """Letters past the LETTERS most frequent: texts of them alone go to their language, phrases are the longest matches."""
+    often = [chr(0x4E00 + i) for i in range(langid.LETTERS)]
+    rare = {x: [chr(at + i) for i in range(300)] for x, at in (("x", 0x5000), ("y", 0x6000))}
+    train = {x: ["".join(often) * 20 + "".join(r) * (2 if x == "x" else 1)] for x, r in rare.items()}
+    p = langid.Parser(train)
+    p.open()
+    texts = ["".join(r[40:90]) for r in rare.values()] + [often[3] + rare["x"][7] + "\u7fff" + rare["y"][8]]
+    bits, letters = p.entropies(texts)
+    assert letters.all() and [p.langs[k] for k in bits[:2].argmin(1)] == ["x", "y"]
+    for x, (source,) in train.items():
+        for i, t in enumerate(texts):
+            n, left = 0, t
+            while left:
+                k = max((k for k in range(1, len(left) + 1) if left[:k] in source), default=1)
+                n, left = n + 1, left[k:]
+            assert math.isclose(bits[i, p.langs.index(x)], n * p.weight[p.langs.index(x)] / len(t)), (x, t)
+
+
 def test_language_model(docs, corpus):
     got = lm.op1(docs).collect()
     assert len(got) == len(corpus)

@@ -33,7 +33,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    return decontam.decontaminate(_packed(docs), table(spark, sf_dir, "benchmark")).select("_row.*")
+    return decontam.decontaminate(_packed(docs), table(spark, sf_dir, "benchmark"), decontam.SHARE).select("_row.*")
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ of SPAN neighbouring tokens and ignores the rest, so a seed survives substitutio
 Seeds of all training positions meet the benchmark's in a hash join, which is broadcast while the
 benchmark is within BROADCAST_SEEDS and shuffled beyond. A hit fixes how the item lies in the text; the whole
 item is then laid there and the best-scoring stretch found (match +1, other token -2). The pair counts as
-contaminated from min(LEAST, 0.8 x the item's tokens) on. Everything up to the verified pairs happens in the
+contaminated from min(LEAST, 0.8 x the item's tokens) on, and with `share` also where so large a part of the
+item's tokens is equal at one placement: short items are then found with a fifth of their tokens substituted, wherever
+these stand (the query and the pipeline pass SHARE). `matched` is the best stretch's score in both cases. Everything up to the verified pairs happens in the
 scan's stage; only they are shuffled.
 
 Defined results: one row a (doc_id, item_id) at least one row of which matches; null texts, null item
@@ -21,9 +23,12 @@ from pyspark.sql import functions as F
 from millrace.llm.common import document_columns
 
 SPAN = 8
-#: The token places that each mask looks at.
-MASKS = ((0, 1, 3, 6, 7), (0, 2, 4, 5, 7))
+#: The token places that each mask looks at. By enumeration, an item of 8 to 25 tokens keeps a seed of one of them
+#: whatever fifth of its tokens is substituted.
+MASKS = ((0, 1, 3, 6, 7), (0, 2, 4, 5, 7), (1, 2, 3, 4, 5), (0, 1, 4, 5, 7), (0, 1, 2, 3, 4))
 LEAST = 12
+#: The part of an item's tokens that is enough at one placement.
+SHARE = 0.8
 MISS = -2
 BROADCAST_SEEDS = 1_000_000
 
@@ -33,7 +38,7 @@ def tokens(text: Column) -> Column:
 
 
 def seeds(words: Column) -> Column:
-    """Hashes of all masks at all places: the first mask's, then the second's."""
+    """Hashes of all masks at all places, mask by mask."""
     places = F.sequence(F.lit(0), F.size(words) - SPAN)
     each = [F.transform(places, _masked(words, k)) for k in range(len(MASKS))]
     return F.when(F.size(words) >= SPAN, F.concat(*each))
@@ -50,7 +55,7 @@ def _seeded(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, "words", F.posexplode_outer("seeds").alias("p", "seed")).select(*keep, "words", (F.col("p") % (F.size("words") - SPAN + 1)).alias("at"), "seed")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, share: float | None = None) -> DataFrame:
     """(doc_id, item_id, matched, item_tokens, start): `start` is the item's first token's place in the text."""
     items = document_columns(benchmark, "item_id", "text").where("text is not null").withColumn("copy", F.xxhash64("text"))
     known = _seeded(items, "item_id", "copy").select("item_id", "copy", F.col("words").alias("item"), F.col("at").alias("item_at"), "seed")
@@ -72,13 +77,15 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         equal, F.struct(F.lit(0).alias("run"), F.lit(0).alias("best")),
         lambda s, x: F.struct(F.greatest(s["run"] + x, F.lit(0)).alias("run"), F.greatest(s["best"], s["run"] + x).alias("best")),
     )["best"]
-    scored = met.select("doc_id", "item_id", F.size("item").alias("item_tokens"), "start", best.alias("matched"))
-    found = scored.where(F.col("matched") >= F.least(F.lit(LEAST), F.ceil(F.col("item_tokens") * 0.8)))
+    same = F.size(F.filter(equal, lambda x: x == 1))
+    scored = met.select("doc_id", "item_id", F.size("item").alias("item_tokens"), "start", best.alias("matched"), *[same.alias("same")] * (share is not None))
+    enough = F.col("matched") >= F.least(F.lit(LEAST), F.ceil(F.col("item_tokens") * 0.8))
+    found = scored.where(enough if share is None else enough | (F.col("same") >= F.ceil(F.col("item_tokens") * share)))
     top = F.max(F.struct("matched", "item_tokens", (-F.col("start")).alias("start"))).alias("top")
     return found.groupBy("doc_id", "item_id").agg(top).select("doc_id", "item_id", "top.matched", "top.item_tokens", (-F.col("top.start")).alias("start"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float | None = None) -> DataFrame:
     """`docs` without contaminated documents; a null doc_id is contaminated if any row with it is."""
-    bad = matches(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = matches(docs, benchmark, share).select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")

@@ -15,7 +15,7 @@ def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), decontam.SHARE)
 
 
 def op3_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The SQL-function operators: licences, personal data, decontamination."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -169,6 +170,29 @@ def test_leaks_equal_brute_force(spark, leaks, monkeypatch, broadcast):
     assert decontam.matches(frame(spark, docs).limit(0), bench).count() == 0 and decontam.matches(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_short_items_with_substitutions(spark):
+    """A fifth of an item's tokens substituted, at any places: found; one more: not by share."""
+    items = [" ".join(f"i{n}x{j}" for j in range(n)) for n in (8, 10, 12, 14, 16, 20)]
+    docs, want, rnd = [], set(), random.Random(6)
+    for k, item in enumerate(items):
+        n = len(item.split())
+        for least in range(2):
+            off = n - -(-n * 8 // 10) + least
+            places = list(itertools.combinations(range(n), off))
+            for some in rnd.sample(places, min(len(places), 60)):
+                words = ["other" if j in some else w for j, w in enumerate(item.split())]
+                if not least:
+                    want.add((len(docs), k))
+                docs.append("before it " + " ".join(words) + " after it")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.matches(frame(spark, docs), bench, decontam.SHARE).collect()}
+    assert want <= got
+    stretch = {(i, j) for i, t in enumerate(docs) for j, v in enumerate(items) if best(t, v)}
+    assert got == want | stretch
+    left = decontam.decontaminate(frame(spark, docs), bench, decontam.SHARE)
+    assert {r.doc_id for r in left.collect()} == set(range(len(docs))) - {i for i, _ in got}
+
+
 def test_planted_passages(spark):
     docs, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
     plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "

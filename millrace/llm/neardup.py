@@ -10,9 +10,9 @@
    small buckets all meet across components; those of larger ones are joined exactly by a prefix filter,
    rarest shingles first, again in stars and then across components. Components are final after this.
 
-With 32 bands of 6 registers a pair at similarity 0.85 shares no band with a chance of 3e-7, less above;
-the estimate's standard error is 0.026 there, so MARGIN is over 6 of them. Registers and bands are
-parameters; no bucket is capped and no document dropped.
+Bands are as few and wide as leave a pair at the threshold a chance of MISSED at most to share none: 32 of 6
+registers at 0.85 (3e-7, less above), 48 of 4 at 0.8 (1e-11). The estimate's standard error is 0.026 at 0.85 and
+0.029 at 0.8, so MARGIN is over 5 of them. No bucket is capped and no document dropped.
 
 Defined results: a null or empty text, or one of white space, has an empty set, is linked with nothing
 and kept. Documents that repeat a doc_id are told apart by their text; a repeated row is one document. A null
@@ -34,6 +34,8 @@ from millrace.llm.common import document_columns, forget, pieces, ship, write_ta
 from millrace.llm.graph import components
 
 MARGIN = 0.16
+#: Chance that a pair at the threshold shares no band, at most.
+MISSED = 1e-6
 #: Buckets of at most so many classes compare all of them across components.
 SMALL = 48
 #: Cells that count shingles for the prefix filter's order.
@@ -72,12 +74,18 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, doc_id long, n long, d1 long, d2 long, sig binary")
 
 
-def _banded(classes: DataFrame) -> DataFrame:
+def bands(num: int, den: int, registers: int = S.REGISTERS) -> int:
+    """The fewest bands that miss a pair at a similarity of num / den with a chance of MISSED at most."""
+    fit = (b for b in range(1, registers) if registers % b == 0 and (1 - (num / den) ** (registers // b)) ** b <= MISSED)
+    return next(fit, registers)
+
+
+def _banded(classes: DataFrame, n_bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(b.num_rows, -1)
-                keys = S.band_keys(sig)
+                keys = S.band_keys(sig, n_bands)
                 each = [np.repeat(b.column(c).to_numpy(), keys.shape[1]) for c in ("rep", "n")]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *each, np.zeros(keys.size, np.int32))], ["key", "rep", "n", "place"])
 
@@ -216,7 +224,7 @@ def grouped(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     every = seen.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("node").alias("rep"), F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first"), F.count("*").alias("size"))
     every = write_table(every, "classes")
     classes = write_table(seen.join(every.select(F.col("rep").alias("node")), "node", "left_semi").select(F.col("node").alias("rep"), "n", "sig").dropDuplicates(["rep"]), "representatives")
-    keyed = write_table(_stars(_banded(classes)).drop("size"), "stars")
+    keyed = write_table(_stars(_banded(classes, bands(num, den))).drop("size"), "stars")
     pairs = write_table(_estimated(keyed.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), classes, least), "pairs")
     _release(docs)
     sets = write_table(full_sets(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), k), "sets")

@@ -110,6 +110,15 @@ def test_registers_and_bands():
     assert shingles.estimate(far[:1], far[1:])[0] < 0.05
 
 
+def test_bands_by_threshold(spark):
+    assert neardup.bands(85, 100) == 32 and neardup.bands(80, 100) == 48
+    for num in (50, 80, 85, 95):
+        b = neardup.bands(num, 100)
+        assert shingles.REGISTERS % b == 0 and (1 - (num / 100) ** (shingles.REGISTERS // b)) ** b <= neardup.MISSED
+    rows = spark.createDataFrame([(1, 9, bytes(2 * shingles.REGISTERS))], "rep long, n long, sig binary")
+    assert neardup._banded(rows, neardup.bands(80, 100)).count() == 48
+
+
 def test_components(spark):
     rnd = random.Random(1)
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 480)] + [(900, k) for k in range(500, 560)] + [(7, 7)]

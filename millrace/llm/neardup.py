@@ -48,9 +48,12 @@ def _release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def _node(docs: DataFrame) -> Column:
+def _unique(docs: DataFrame) -> bool:
+    return docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+
+
+def _node(unique: bool) -> Column:
     """A document's number: its id where ids are unique, else a hash of id and text."""
-    unique = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
     return F.col("doc_id").cast("long") if unique else F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")
 
 
@@ -214,11 +217,14 @@ def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     return sets.mapInArrow(run, "key long, rep long, n long, place int")
 
 
-def grouped(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(node, doc_id, n, component_id) of (doc_id, text) rows: sets of k-word shingles, linked where den * common >= num * union."""
+def grouped(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, unique: bool | None = None) -> DataFrame:
+    """(node, doc_id, n, component_id, label) of (doc_id, text) rows: sets of k-word shingles, linked where den * common >= num * union.
+
+    `label` tells groups apart also where two have the same least doc_id.
+    """
     ship(docs.sparkSession)
     docs = document_columns(docs, "doc_id", "text")
-    docs = docs.withColumn("node", _node(docs))
+    docs = docs.withColumn("node", _node(_unique(docs) if unique is None else unique))
     least = num / den - MARGIN
     seen = write_table(signed(docs, k), "signed")
     every = seen.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("node").alias("rep"), F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first"), F.count("*").alias("size"))
@@ -257,10 +263,10 @@ def grouped(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataF
     # classes to components, components to their least doc_id, documents to classes
     named = every.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     lowest = named.groupBy("label").agg(F.min("first").alias("lowest"))
-    known = write_table(named.join(lowest, "label").select("d1", "d2", "n", "lowest"), "named")
+    known = write_table(named.join(lowest, "label").select("d1", "d2", "n", "lowest", "label"), "named")
     out = seen.select("node", "doc_id", "n", "d1", "d2").join(known, ["d1", "d2", "n"], "left")
     least_id = F.when(F.col("lowest") == -(2**63), None).otherwise(F.col("lowest"))
-    return out.select("node", "doc_id", "n", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(least_id).alias("component_id"))
+    return out.select("node", "doc_id", "n", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(least_id).alias("component_id"), F.coalesce("label", "node").alias("label"))
 
 
 def op7(docs: DataFrame) -> DataFrame:
@@ -269,6 +275,14 @@ def op7(docs: DataFrame) -> DataFrame:
 
 
 def first_of_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """`docs` with one document of each near-duplicate group: that of the least doc_id."""
-    keep = grouped(docs, k, num, den).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    """`docs` with one document of each near-duplicate group: that of the least doc_id.
+
+    Of several texts of that doc_id one stays; of rows that repeat a doc_id and its text one stays, whichever.
+    """
+    unique = _unique(docs)
+    found = grouped(docs, k, num, den, unique)
+    if unique:
+        keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("node").alias("_kept"))
+        return docs.join(keep, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    keep = found.groupBy("label").agg(F.min(F.struct("doc_id", "node"))["node"].alias("_kept")).select("_kept")
+    return docs.withColumn("_node", _node(unique)).join(keep, F.col("_node") == F.col("_kept"), "left_semi").dropDuplicates(["_node"]).drop("_node")

@@ -92,6 +92,17 @@ def test_first_of_groups(spark, family):
     assert sorted(r.doc_id for r in left.collect()) == sorted({i for i, c in want.items() if i == c})
 
 
+def test_first_of_groups_with_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{j}" for j in range(60)) for x in "abc")
+    near = b + " more"
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (5, b), (6, None), (6, None), (7, ""), (8, near), (8, near + " still"), (None, c)]
+    df = spark.createDataFrame([(*r, 1, 2, "s", 3) for r in rows], SCHEMA)
+    got = [(r.doc_id, r.text) for r in neardup.first_of_groups(df, 5, 80).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (None, c), (6, None), (7, "")], key=str)
+    one = neardup.first_of_groups(df.where("doc_id = 8"), 5, 80)  # two near texts of one id
+    assert one.count() == 1 and one.columns == df.columns
+
+
 def test_registers_and_bands():
     rng = np.random.default_rng(0)
     for n in (7, 30, 300):

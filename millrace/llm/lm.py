@@ -9,7 +9,7 @@ emissions are a bounded table whatever the vocabulary, and every text has an exa
 
 where C_class sums c + 1 over the class's words. Baum-Welch starts on a bounded sample of training
 documents; then every round's expected counts cover all training rows: each task sums them over its
-documents (in stretches of SEGMENT tokens), they are added across tasks, and the driver normalises one bounded table.
+whole documents (whose stretches of SEGMENT tokens walk side by side and are joined exactly), they are added across tasks, and the driver normalises one bounded table.
 Scoring runs the scaled forward recursion over whole documents, many side by side.
 
 Counts of rare words reach documents by a join on the word; nothing that grows with the vocabulary is
@@ -97,14 +97,47 @@ def forward(model: Model, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bounds(model: Model, flat: np.ndarray, cut: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What whole sequences bring to their stretches: the states' probabilities before the first token, and, up to scale, the backward values at the last."""
+    n = len(model.start)
+    before, after = np.tile(model.start, (len(cut), 1)), np.ones((len(cut), n))
+    rows = np.flatnonzero(np.repeat(parts > 1, parts))
+    if not len(rows):
+        return before, after
+    # how each stretch carries any state before it to those at its end
+    order, active = lanes(cut[rows])
+    at = (np.cumsum(cut) - cut)[rows][order]
+    carry = np.tile(np.eye(n), (len(rows), 1, 1))
+    for t, k in enumerate(active.tolist()):
+        moved = (carry[:k].reshape(-1, n) @ model.move).reshape(k, n, n) if t else carry[:k]
+        carry[:k] = moved * model.emit[flat[at[:k] + t]][:, None, :]
+        if t % 8 == 7:
+            carry[:k] /= carry[:k].sum((1, 2), keepdims=True)
+    through = np.empty((len(cut), n, n))
+    through[rows[order]] = carry
+    by_parts, longer = lanes(parts)
+    first = (np.cumsum(parts) - parts)[by_parts]
+    for j in range(1, len(longer)):
+        i = first[: longer[j]] + j
+        x = (before[i - 1][:, None] @ through[i - 1])[:, 0] @ model.move
+        before[i] = x / x.sum(1, keepdims=True)
+    for j in range(len(longer) - 1, 0, -1):
+        i = first[: longer[j]] + j
+        x = (through[i] @ after[i][:, :, None])[:, :, 0] @ model.move.T
+        after[i - 1] = x / x.sum(1, keepdims=True)
+    return before, after
+
+
 def expected(model: Model, flat: np.ndarray, sizes: np.ndarray, into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-    """Add expected counts of starts, moves and emissions (forward and backward, scaled)."""
+    """Add whole sequences' expected counts of starts, moves and emissions (forward and backward, scaled)."""
     starts, moves, emits = into
-    order, active = lanes(sizes)
-    at = (np.cumsum(sizes) - sizes)[order]
+    cut, parts = _stretches(flat, sizes), -(-sizes // SEGMENT)
+    before, after = _bounds(model, flat, cut, parts)
+    order, active = lanes(cut)
+    at = (np.cumsum(cut) - cut)[order]
     n = len(model.start)
     alphas, scales, tokens = [], [], []
-    alpha = np.broadcast_to(model.start, (len(sizes), n))
+    alpha, after = before[order], after[order]
     for t, k in enumerate(active.tolist()):
         token = flat[at[:k] + t]
         alpha = (alpha[:k] @ model.move if t else alpha[:k]) * model.emit[token]
@@ -113,17 +146,28 @@ def expected(model: Model, flat: np.ndarray, sizes: np.ndarray, into: tuple[np.n
         alphas.append(alpha), scales.append(scale), tokens.append(token)  # noqa: B018
     beta = np.ones((0, n))
     gammas = [None] * len(alphas)
+    final = np.zeros((len(cut), n))
     for t in range(len(alphas) - 1, -1, -1):
-        k = len(alphas[t])
-        now = np.ones((k, n))
-        if len(beta):
+        k, m = len(alphas[t]), len(beta)
+        now = after[:k].copy()
+        if k > m:
+            final[order[m:k]] = alphas[t][m:]
+            now[m:] /= (alphas[t][m:] * now[m:]).sum(1, keepdims=True)
+        if m:
             ahead = model.emit[tokens[t + 1]] * beta / scales[t + 1]
-            now[: len(beta)] = ahead @ model.move.T
-            moves += model.move * (alphas[t][: len(beta)].T @ ahead)
+            now[:m] = ahead @ model.move.T
+            moves += model.move * (alphas[t][:m].T @ ahead)
         beta = now
         gammas[t] = alphas[t] * beta
     if gammas:
-        starts += gammas[0].sum(0)
+        head = np.zeros(len(cut), bool)
+        head[(np.cumsum(parts) - parts)[parts > 0]] = True
+        starts += gammas[0][head[order]].sum(0)
+        # the moves across cuts
+        ahead = np.empty((len(cut), n))
+        ahead[order] = model.emit[tokens[0]] * beta / scales[0]
+        later = np.flatnonzero(~head)
+        moves += model.move * (final[later - 1].T @ ahead[later])
         every, gamma = np.concatenate(tokens), np.concatenate(gammas)
         for s in range(n):
             emits[:, s] += np.bincount(every, gamma[:, s], len(emits))
@@ -182,7 +226,7 @@ def first_model(texts: list[str], hot: dict[bytes, int], share: np.ndarray, stat
     model = Model.of_counts(np.ones(states), 1000 * move, emit, share)
     for _ in range(SAMPLE_ROUNDS if docs else 0):
         into = (np.zeros(states), np.zeros((states, states)), np.zeros((len(share), states)))
-        expected(model, flat, _stretches(flat, sizes), into)
+        expected(model, flat, sizes, into)
         model = Model.of_counts(*into, share)
     return model
 
@@ -229,7 +273,7 @@ def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Traine
             n = len(model.start)
             into = (np.zeros(n), np.zeros((n, n)), np.zeros((len(model.emit), n)))
             for flat, sizes in _classed(batches, Classes(hot)):
-                expected(model, flat, _stretches(flat, sizes), into)
+                expected(model, flat, sizes, into)
             used = np.flatnonzero(into[2].any(1))
             rows = np.concatenate([into[0][None], into[1], into[2][used]])
             keys = np.concatenate([-np.arange(1, n + 2), used])

@@ -146,6 +146,39 @@ def test_forward_is_exact():
     assert math.isclose(sum(10 ** lm.forward(model, np.array(sum(every, [])), np.full(125, 3))), 1.0)
 
 
+def test_stretches_count_as_whole_texts(monkeypatch):
+    """Expected counts against the sum over all state paths, and a model learned in stretches equal to one without."""
+    from itertools import product
+
+    model, seqs = tiny(), [[1], [4, 0, 3, 3, 2, 1, 0], [2, 2, 4, 1]]
+    want = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
+    for seq in seqs:
+        ps = {}
+        for path in product(range(3), repeat=len(seq)):
+            p = model.start[path[0]] * model.emit[seq[0], path[0]]
+            for a, b, w in zip(path, path[1:], seq[1:], strict=False):
+                p *= model.move[a, b] * model.emit[w, b]
+            ps[path] = p
+        total = sum(ps.values())
+        for path, p in ps.items():
+            want[0][path[0]] += p / total
+            for a, b in zip(path, path[1:], strict=False):
+                want[1][a, b] += p / total
+            for w, a in zip(seq, path, strict=True):
+                want[2][w, a] += p / total
+    rnd = np.random.default_rng(2)
+    texts = [" ".join(f"w{k}" for k in rnd.integers(0, 9, n)) for n in (1, 5, 40, 41, 90)]
+    share, learned = np.full(lm.HOT + lm.CLASSES, 1 / (lm.HOT + lm.CLASSES)), []
+    for segment in (2, 3, 10**6):
+        monkeypatch.setattr(lm, "SEGMENT", segment)
+        got = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
+        lm.expected(model, np.array(sum(seqs, [])), np.array(list(map(len, seqs))), got)
+        assert all(np.allclose(x, y, rtol=1e-10) for x, y in zip(got, want, strict=True))
+        learned.append(lm.first_model(texts, {f"w{k}".encode(): k for k in range(9)}, share, 3))
+    for m in learned[:2]:
+        assert np.allclose(m.start, learned[2].start) and np.allclose(m.move, learned[2].move) and np.allclose(m.emit, learned[2].emit)
+
+
 def test_baum_welch_raises_likelihood():
     rng = np.random.default_rng(1)
     flat, sizes = rng.integers(0, 5, 400), np.full(20, 20)

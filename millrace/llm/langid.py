@@ -5,11 +5,16 @@ where the last phrase ended, the longest string that occurs in the training text
 Phrases times the logarithm of the training length, per letter or space, estimate the cross entropy;
 the language with the least wins, ties going to the lesser name.
 
-Texts are brought to lower-case letters with single spaces for all else. Long texts are parsed whole,
-in blocks of BLOCK signs, a phrase ending at a block's end; so a batch's blocks walk all automata side by side in numpy,
-one gather a step. Every letter of the training texts has a sign: moves by the LETTERS most frequent lie in a full table,
-moves by all others in a sorted list, searched only where a text has such a letter. Training takes whole documents of least hashed id, up to DOCS documents and CHARS
-signs a language: a fixed bound on what is broadcast. Scoring is one pass without a shuffle.
+Texts are brought to lower-case letters with single spaces for all else, and parsed whole. A batch's texts
+are walked side by side in numpy, in stretches of BLOCK signs: each is parsed as if a phrase began with it, then
+again from the state in which the stretch before it ended, only as far as the two walks differ, until no
+stretch's entry changes. That is the parse of the whole text, phrase by phrase.
+
+Every letter of the training texts has a sign: moves by the most frequent letters lie in a full table of at most
+TABLE entries, moves by all others in a sorted list, searched only where a text has such a letter. Training is a
+bounded sample of whole documents a language: up to `max_docs`, of least hashed id, that together have at most
+`max_signs` signs; texts of 200 to `max_chars` characters come first, then shorter ones. Where a language has
+longer texts alone, its shortest is taken, whole. Scoring is one pass without a shuffle.
 
 Defined results: `und` with score 0 for a null text, one without a letter, or no training text at all.
 Score is second / (best + second), from 0.5 (a tie) to 1; 1 if only one language was learned. Null languages are not learned.
@@ -27,7 +32,10 @@ from pyspark.sql.types import StructType
 
 from millrace.llm.common import document_columns, pieces, remainder, ship
 
-DOCS, CHARS, LETTERS = 60, 24_000, 120
+#: Bounds of the training sample, by language: documents, signs, and characters of a document.
+MAX_DOCS, MAX_SIGNS, MAX_CHARS = 60, 24_000, 20_000
+#: Letters and entries of the full table of moves.
+LETTERS, TABLE = 120, 1 << 24
 BLOCK = 1024
 _signs: list[np.ndarray] = []
 
@@ -81,16 +89,14 @@ def suffix_automaton(signs: list[int]) -> list[dict[int, int]]:
 class Parser:
     """All languages' automata in one table and one list. State 0 is "no match"; sign 0 is unknown, 1 the space."""
 
-    def __init__(self, texts: dict[str, list[str]], chars: int = CHARS, letters: int = LETTERS):
+    def __init__(self, texts: dict[str, list[str]], max_signs: int = MAX_SIGNS, letters: int = LETTERS):
         held, count = {}, {}
         for lang, docs in sorted(texts.items()):
             parts, n = [], 0
             for codes in map(plain, docs):
-                if n + len(codes) <= chars:
+                if not parts or n + len(codes) <= max_signs:
                     parts.append(codes)
                     n += len(codes)
-            if not parts and docs:
-                parts = [plain(docs[0])[:chars]]
             held[lang] = parts
             for x in parts:
                 for c, k in zip(*np.unique(x, return_counts=True), strict=True):
@@ -98,26 +104,24 @@ class Parser:
         self.langs = [x for x in held if sum(map(len, held[x]))]
         known = sorted((c for c in count if c), key=lambda c: (-count[c], c))
         self.sign = {0: 1} | {c: i + 2 for i, c in enumerate(known)}
-        self.signs, self.width = len(known) + 2, min(len(known), letters) + 2
-        tables, self.start, self.weight, at = [np.zeros((1, self.width), np.int32)], [], [], 1
-        rare: list[tuple[int, int]] = []
+        autos, self.start, self.weight, at = [], [], [], 1
         for lang in self.langs:
-            signs = []
-            for x in held[lang]:
-                signs += [self.sign[int(c)] for c in x] + [1]
-            auto = suffix_automaton(signs)
-            t = np.zeros((len(auto), self.width), np.int32)
-            for s, go in enumerate(auto):
+            signs = [s for x in held[lang] for s in [*(self.sign[int(c)] for c in x), 1]]
+            autos.append(suffix_automaton(signs))
+            self.start.append(at)
+            self.weight.append(float(np.log2(len(signs) + 1)))
+            at += len(autos[-1])
+        self.signs, self.width = len(known) + 2, min(len(known), letters, TABLE // at) + 2
+        table = np.zeros((at, self.width), np.int32)
+        rare: list[tuple[int, int]] = []
+        for first, auto in zip(self.start, autos, strict=True):
+            for s, go in enumerate(auto, first):
                 for c, z in go.items():
                     if c < self.width:
-                        t[s, c] = at + z
+                        table[s, c] = first + z
                     else:
-                        rare.append(((at + s) * self.signs + c, at + z))
-            tables.append(t)
-            self.start.append(at)
-            self.weight.append(float(np.log2(len(signs) + 1)))
-            at += len(auto)
-        self.table = np.concatenate(tables).ravel()
+                        rare.append((s * self.signs + c, first + z))
+        self.table = table.ravel()
         rare.sort()
         self.keys, self.goes = np.array([k for k, _ in rare], np.int64), np.array([z for _, z in rare], np.int32)
 
@@ -141,64 +145,107 @@ class Parser:
         to[:, rare] = np.where(self.keys[at] == key, self.goes[at], 0)
         return to
 
+    def _parse(self, signs: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end within each stretch, and the state at its end, by language; a phrase begins with each."""
+        m = len(starts)
+        order = np.argsort(-lens, kind="stable")
+        at, size = starts[order], lens[order]
+        root = np.repeat(np.array(self.start, np.int32)[:, None], m, 1)
+        state, ended = root.copy(), np.zeros((len(self.langs), m), np.int64)
+        active = np.searchsorted(-size, -np.arange(size[0]), "left")  # stretches longer than each step
+        for t, k in enumerate(active.tolist()):
+            c = signs[at[:k] + t]
+            s = state[:, :k]
+            to = self._moves(s, c)
+            miss = to == 0
+            begin = self.first[:, c]
+            # the phrase before ends; a sign that the language lacks is a phrase by itself at once
+            ended[:, :k] += miss & (s != root[:, :k])
+            ended[:, :k] += miss & (begin == root[:, :k])
+            state[:, :k] = np.where(miss, begin, to)
+        back = np.empty(m, np.int64)
+        back[order] = np.arange(m)
+        return ended[:, back], state[:, back]
+
+    def _step(self, lang: np.ndarray, state: np.ndarray, sign: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        to = self._moves(state[None], sign)[0]
+        miss, begin = to == 0, self.first[lang, sign]
+        return np.where(miss, begin, to), (miss & (state != root)).astype(np.int64) + (miss & (begin == root))
+
+    def _mend(self, signs: np.ndarray, starts: np.ndarray, lens: np.ndarray, heads: np.ndarray, ended: np.ndarray, final: np.ndarray) -> None:
+        """Bring counts and end states to those of a walk that goes on from each stretch into the next."""
+        roots = np.array(self.start, np.int32)
+        entry = np.repeat(roots[:, None], len(starts), 1)
+        lang, block = np.nonzero(np.broadcast_to(~heads, ended.shape))
+        while len(lang):
+            new = final[lang, block - 1]
+            go = new != entry[lang, block]
+            lang, block, new = lang[go], block[go], new[go]
+            old = entry[lang, block]
+            entry[lang, block] = new
+            x, b, at, left = lang, block, starts[block], lens[block]
+            moved: list[tuple[np.ndarray, np.ndarray]] = []
+            while len(x):
+                c, root = signs[at], roots[x]
+                old, gone = self._step(x, old, c, root)
+                new, come = self._step(x, new, c, root)
+                ended[x, b] += come - gone
+                at, left = at + 1, left - 1
+                over = (left == 0) & (old != new)
+                if over.any():
+                    final[x[over], b[over]] = new[over]
+                    moved.append((x[over], b[over] + 1))
+                on = (left > 0) & (old != new)
+                x, b, at, left, old, new = x[on], b[on], at[on], left[on], old[on], new[on]
+            lang, block = (np.concatenate([m[i] for m in moved]) if moved else np.zeros(0, np.int64) for i in (0, 1))
+            inside = block < len(starts)
+            lang, block = lang[inside], block[inside]
+            lang, block = lang[~heads[block]], block[~heads[block]]
+
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a sign, by text and language, and which texts have a letter."""
         codes = [plain(t) if t else np.zeros(0, np.int32) for t in texts]
         letters = np.array([bool((c != 0).any()) for c in codes])
-        n_langs = len(self.langs)
         sizes = np.array([len(c) for c in codes], np.int64)
         signs = self.of[np.concatenate(codes)] if len(codes) else np.zeros(0, np.int32)
-        starts, lens, owner = [], [], []
-        at = 0
-        for i, n in enumerate(sizes.tolist()):
-            for b in range(0, n, BLOCK):
-                starts.append(at + b), lens.append(min(BLOCK, n - b)), owner.append(i)  # noqa: B018
-            at += n
-        phrases = np.zeros((len(codes), n_langs))
-        if starts:
-            order = np.argsort(-np.array(lens), kind="stable")
-            starts, lens, owner = np.array(starts)[order], np.array(lens)[order], np.array(owner)[order]
-            m = len(starts)
-            root = np.repeat(np.array(self.start, np.int32)[:, None], m, 1)
-            state, ended = root.copy(), np.zeros((n_langs, m), np.int32)
-            active = np.searchsorted(-lens, -np.arange(lens[0]), "left")  # blocks longer than each step
-            for t in range(int(lens[0])):
-                k = int(active[t])
-                c = signs[starts[:k] + t]
-                s = state[:, :k]
-                to = self._moves(s, c)
-                miss = to == 0
-                begin = self.first[:, c]
-                # the phrase before ends; a sign that the language lacks is a phrase by itself at once
-                ended[:, :k] += miss & (s != root[:, :k])
-                ended[:, :k] += miss & (begin == root[:, :k])
-                state[:, :k] = np.where(miss, begin, to)
-            ended += state != root
-            for x in range(n_langs):
+        phrases = np.zeros((len(codes), len(self.langs)))
+        if len(signs) and self.langs:
+            parts = -(-sizes // BLOCK)
+            owner = np.repeat(np.arange(len(codes)), parts)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+            starts = (np.cumsum(sizes) - sizes)[owner] + place * BLOCK
+            lens = np.minimum(BLOCK, sizes[owner] - place * BLOCK)
+            ended, final = self._parse(signs, starts, lens)
+            self._mend(signs, starts, lens, place == 0, ended, final)
+            last = place == parts[owner] - 1
+            ended += last & (final != np.array(self.start, np.int32)[:, None])
+            for x in range(len(self.langs)):
                 phrases[:, x] = np.bincount(owner, ended[x], len(codes))
         return phrases * np.array(self.weight) / np.maximum(sizes, 1)[:, None], letters
 
 
-def train(docs: DataFrame) -> Parser:
-    """Learn from (doc_id, text, lang) rows: at most DOCS documents a language reach the driver."""
+def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_signs: int = MAX_SIGNS, max_chars: int = MAX_CHARS) -> Parser:
+    """Learn from (doc_id, text, lang) rows: at most `max_docs` documents a language reach the driver, each whole."""
     rows = document_columns(docs, "doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null")
-    # the filter on the row number keeps each task to DOCS rows a language before the exchange
-    rank = Window.partitionBy("lang").orderBy("odd", F.xxhash64("doc_id"), "doc_id")
-    sized = rows.select("doc_id", "lang", (~F.length("text").between(200, 20_000)).cast("int").alias("odd"))
-    chosen = sized.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= DOCS).select("doc_id", "lang", "rank")
-    # DOCS rows a language; a repeated doc_id may bring a text twice
-    found = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "rank", F.substring("text", 1, CHARS * 2).alias("text"))
+    n = F.length("text")
+    odd = F.when(n > max_chars, 2).when(n < 200, 1).otherwise(0)
+    # the filter on the row number keeps each task to max_docs rows a language before the exchange
+    rank = Window.partitionBy("lang").orderBy("odd", F.when(F.col("odd") == 2, F.col("n")), F.xxhash64("doc_id"), "doc_id")
+    sized = rows.select("doc_id", "lang", n.alias("n"), odd.alias("odd"))
+    chosen = sized.withColumn("rank", F.row_number().over(rank)).where((F.col("rank") <= max_docs) & ((F.col("odd") < 2) | (F.col("rank") == 1))).select("doc_id", "lang", "rank", "n")
+    # max_docs rows a language; a repeated doc_id may bring a text twice
+    found = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).where(F.length("text") == F.col("n")).select("lang", "rank", "text")
     texts: dict[str, list[str]] = {}
     for r in sorted({(r.lang, r["rank"], r.text) for r in found.collect()}):
         texts.setdefault(r[0], []).append(r[2])
-    return Parser(texts)
+    return Parser(texts, max_signs)
 
 
 def identify(docs: DataFrame, parser: Parser) -> DataFrame:
     """The columns of `docs` with lang_pred and score. `docs` needs a text column."""
     spark = docs.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(parser)  # CHARS signs a language
+    held = spark.sparkContext.broadcast(parser)  # a table of TABLE entries at most, and a list that the sample bounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = held.value

@@ -61,25 +61,63 @@ def test_language_empty(none):
     assert langid.op8(none).count() == 0
 
 
-def test_parse_equals_longest_matches():
-    train = {"x": ["abcabcabd banana"], "y": ["the cat sat on the mat"]}
+def phrases(text, source):
+    """Greedy longest matches over the whole text."""
+    n, at = 0, 0
+    while at < len(text):
+        k = 1
+        while at + k < len(text) and text[at : at + k + 1] in source:
+            k += 1
+        n, at = n + 1, at + k
+    return n
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 1024])
+def test_parse_equals_longest_matches(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    rnd = np.random.default_rng(0)
+    train = {"x": ["abcabcabd banana", "aaaaaaaaaaaa"], "y": ["the cat sat on the mat"]}
     p = langid.Parser(train)
     p.open()
-    texts = ["abcabd banab the cat q mat", "zzz", "a" * 3000]
+    texts = ["abcabd banab the cat q mat", "zzz", "a" * 3000, "abc" * 700 + "the cat sat on the mat" * 30]
+    texts += ["".join(rnd.choice(list("abcdhet \u4e00"), rnd.integers(1, 400))) for _ in range(40)]
     bits, letters = p.entropies(texts)
-    assert letters.all()
+    assert letters[:4].all()
     for lang, held_texts in train.items():
         source = "".join(chr(c) if c else " " for t in held_texts for c in [*langid.plain(t), 0])
         for i, t in enumerate(texts):
             plain = "".join(chr(c) if c else " " for c in langid.plain(t))
-            n = 0
-            for at in range(0, len(plain), langid.BLOCK):
-                block = plain[at : at + langid.BLOCK]
-                while block:
-                    k = max((k for k in range(1, len(block) + 1) if block[:k] in source), default=1)
-                    n, block = n + 1, block[k:]
             x = p.langs.index(lang)
-            assert math.isclose(bits[i, x], n * p.weight[x] / len(plain)), (lang, t)
+            assert math.isclose(bits[i, x], phrases(plain, source) * p.weight[x] / len(plain)), (lang, t)
+
+
+def test_language_of_one_ties_and_long_training_texts(spark):
+    schema = "doc_id long, text string, lang string, odd int"
+    rows = [(i, "only one language here", "en", 0) for i in range(1, 9)]
+    one = langid.op8(spark.createDataFrame([*rows, (99, "日本", None, 0), (100, "12", None, 0)], schema)).collect()
+    assert {(r.lang_pred, r.score) for r in one if r.doc_id < 100} == {("en", 1.0)} and [(r.lang_pred, r.score) for r in one if r.doc_id == 100] == [("und", 0.0)]
+    two = [(i, "the same words for both", lang, 0) for i in range(1, 30) for lang in ("b", "a")]
+    assert {(r.lang_pred, r.score) for r in langid.op8(spark.createDataFrame(two, schema)).collect()} == {("a", 0.5)}
+    long = [(1, "lorem ipsum dolor " * 5000 + "zyx", "la", 0), (2, "lorem ipsum dolor " * 4000 + "unde omnis", "la", 0), (3, "wer weiss das schon", "de", 0)]
+    df = spark.createDataFrame(long, schema)
+    texts = langid.train(df)
+    assert texts.langs == ["de", "la"] and texts.weight[1] == math.log2(len(langid.plain(long[1][1])) + 2)  # the shortest, whole
+    assert langid.train(df, max_chars=80_000).weight[1] == texts.weight[1]
+
+
+def test_a_large_script():
+    """Two made-up languages over one script of thousands of letters, beside a Latin one."""
+    rnd = np.random.default_rng(5)
+    made = {}
+    for lang in ("p", "q"):
+        made[lang] = ["".join(chr(0x4E00 + k) for k in rnd.integers(0, 3000, 2)) for _ in range(600)]
+    made["en"] = "the of and to in is it that was for on with as his they be at one have this".split()
+    text = lambda lang: " ".join(rnd.choice(made[lang], 12))
+    p = langid.Parser({lang: [text(lang) for _ in range(400)] for lang in made})
+    p.open()
+    truth = [lang for lang in made for _ in range(60)]
+    bits, _ = p.entropies([text(lang) for lang in truth])
+    assert sum(p.langs[k] == lang for k, lang in zip(bits.argmin(1), truth, strict=True)) >= 0.97 * len(truth)
 
 
 def test_every_trained_letter_is_evidence():

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from millrace.llm.common import document_columns, pieces, remainder, sampled, ship
 
@@ -36,7 +36,7 @@ _RUN = re.compile(r"(.)\1{2,}", re.S)
 def _outline(word: str) -> str:
     """The case pattern of a word: runs of letters shrink to a sign, other marks stay."""
     out = []
-    for ch in word[:64]:
+    for ch in word:
         sign = "9" if ch.isdigit() else ("A" if ch.isupper() else "a") if ch.isalpha() else ch
         if not out or out[-1] != sign or sign not in "Aa9":
             out.append(sign)
@@ -114,32 +114,40 @@ class Ftrl:
 SCALE = 20.0
 
 
-def fit(rows: list[tuple[int, str | None, float]], bits: int = BITS, epochs: int = 3) -> tuple[np.ndarray, float]:
-    """Weights and bias from (id, text, label) rows; the order is by hashed id, so it is repeatable."""
-    labels = [y for _, _, y in rows]
+def vectors(made: Features, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's distinct feature ids and their values."""
+    feats, owner, counts = made.batch(texts)
+    order = np.argsort(owner, kind="stable")
+    feats, cuts = feats[order], np.searchsorted(owner[order], np.arange(len(texts) + 1))
+    out = []
+    for k in range(len(texts)):
+        ids, n = np.unique(feats[cuts[k] : cuts[k + 1]], return_counts=True)
+        out.append((ids, SCALE * n / max(counts[k], 1)))
+    return out
+
+
+def fit(docs: list[tuple[np.ndarray, np.ndarray, float]], bits: int = BITS, epochs: int = 3) -> tuple[np.ndarray, float]:
+    """Weights and bias from (feature ids, values, label) rows in an order that is repeatable."""
+    labels = [y for _, _, y in docs]
     if not labels or min(labels) == max(labels):
         mean = sum(labels) / len(labels) if labels else 0.5
         return np.zeros(1 << bits), float(np.log(max(mean, 1e-6) / max(1 - mean, 1e-6)))
-    size, made = 1 << bits, Features(bits)
-    docs = []
-    for i in range(0, len(rows), 64):
-        part = rows[i : i + 64]
-        feats, owner, counts = made.batch([t for _, t, _ in part])
-        order = np.argsort(owner, kind="stable")
-        feats, cuts = feats[order], np.searchsorted(owner[order], np.arange(len(part) + 1))
-        for k, (_, _, y) in enumerate(part):
-            ids, n = np.unique(feats[cuts[k] : cuts[k + 1]], return_counts=True)
-            docs.append((np.append(ids, size), np.append(SCALE * n / max(counts[k], 1), 1.0), y))
+    size = 1 << bits
     model, order = Ftrl(size + 1), np.random.default_rng(7)
     for _ in range(epochs):
         for k in order.permutation(len(docs)):
-            model.learn(*docs[k])
+            at, x, y = docs[k]
+            model.learn(np.append(at, size), np.append(x, 1.0), y)
     w = model.weights()
     return w[:size], float(w[size])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits: int = BITS) -> tuple[np.ndarray, float]:
-    """Fit on at most `max_train` labelled documents whose id leaves a remainder other than 1 by 3."""
+    """Fit on at most `max_train` labelled documents whose id leaves a remainder other than 1 by 3.
+
+    Texts become sparse vectors where they lie, so what meets in the one task that fits is bounded by
+    `max_train` rows of 2**bits entries at most, however long the texts.
+    """
     spark = docs.sparkSession
     ship(spark)
     chosen = (
@@ -148,19 +156,33 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits:
     )
     chosen = sampled(chosen, "doc_id", max_train)
     # at most max_train rows of 16 bytes: a proven bound
-    sample = document_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_train)
+    found = document_columns(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("place"), "doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "text", "label")
+
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = Features(bits)
+        for b in pieces(batches, limit=1 << 20):
+            held = vectors(made, b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in ("place", "doc_id", "digest", "label")), pa.array([i.astype(np.int32) for i, _ in held], pa.list_(pa.int32())), pa.array([x for _, x in held], pa.list_(pa.float64()))],
+                ["place", "doc_id", "digest", "label", "ids", "x"],
+            )
+
+    shape = StructType([f for f in found.schema.fields if f.name in ("place", "doc_id", "digest")])
+    shape = shape.add("label", "double").add("ids", ArrayType(IntegerType())).add("x", ArrayType(DoubleType()))
+    sample = found.mapInArrow(sparse, shape).orderBy("place", "doc_id", "digest").limit(max_train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for b in batches:
-            rows += zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "label")), strict=True)
+            for ids, x, y in zip(b.column("ids"), b.column("x"), b.column("label").to_pylist(), strict=True):
+                rows.append((ids.values.to_numpy().astype(np.int64), x.values.to_numpy(), y))
         w, bias = fit(rows, bits)
         yield pa.RecordBatch.from_pydict({"w": pa.array([w.astype("<f4").tobytes()], pa.binary()), "bias": [bias]})
 
-    found = sample.coalesce(1).mapInArrow(run, "w binary, bias double").collect()
-    if not found:
+    made = sample.coalesce(1).mapInArrow(run, "w binary, bias double").collect()
+    if not made:
         return fit([], bits)
-    return np.frombuffer(found[0].w, "<f4"), found[0].bias
+    return np.frombuffer(made[0].w, "<f4"), made[0].bias
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], bits: int = BITS) -> DataFrame:

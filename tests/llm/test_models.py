@@ -45,6 +45,65 @@ def test_quality_features_are_those_of_each_text():
     assert sorted(feats[owner == 3].tolist()) == sorted(alone.tolist())
 
 
+def plain_features(text, bits):
+    """The features by definition, word by word, in unbounded integers cut to 64 bits."""
+    cut, odd = (1 << 64) - 1, 0xD6E8FEB86659FD93
+
+    def hashed(x, family):
+        x = (x + family) * odd & cut
+        x = (x ^ (x >> 32)) * odd & cut
+        return (x ^ (x >> 32)) & ((1 << bits) - 1)
+
+    def join(a, b):
+        return (a * 0x9E3779B97F4A7C15 & cut) ^ ((b + 0x632BE59BD9B4E019) & cut)
+
+    def outline(w):
+        signs = ["9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in w]
+        out = [c for k, c in enumerate(signs) if not k or c != signs[k - 1] or c not in "Aa9"]
+        return "".join(c for k, c in enumerate(out) if k < 3 or not (c == out[k - 1] == out[k - 2] == out[k - 3]))
+
+    w = (text or "").split()
+    core = [zlib.crc32(x.lower().strip(".,;:!?#$%&*|()[]{}\"'<>/\\-_=+~^").encode()) for x in w]
+    line = [61 if k and w[k - 1] == x else zlib.crc32(outline(x).encode()) for k, x in enumerate(w)]
+    out = Counter([hashed(c, 1) for c in core] + [hashed(o, 2) for o in line])
+    out.update(hashed(join(a, b), 3) for a, b in zip(core, core[1:], strict=False))
+    out.update(hashed(join(a, b), 4) for a, b in zip(line, line[1:], strict=False))
+    out.update(hashed(join(join(a, b), c), 5) for a, b, c in zip(line, line[1:], line[2:], strict=False))
+    return {k: quality.SCALE * n / len(w) for k, n in out.items()}
+
+
+def test_quality_scores_equal_plain_ftrl(spark):
+    """Weights and scores against updates made one coordinate at a time, with averaged labels, ties and words that differ late."""
+    bits, long = 10, "x" * 70
+    texts = {1: "Good words, and more words.", 2: "$$$ buy 99 99 !!! $$$$$$", 3: f"{long}! {long}A", 4: None, 5: "", 6: "ok ok ok fine", 7: f"{long}1 {long}B", 8: "Words and words", 9: "!!! $$$ 1", 10: "good good"}
+    docs = spark.createDataFrame([(i, t, 0.5, 3) for i, t in texts.items()], "doc_id long, text string, score double, place int")
+    marks = [(1, 1), (2, 0), (3, 1), (3, 0), (6, 1), (6, 0), (6, 0), (8, 1), (9, 0), (9, None), (4, 1), (None, 1), (10, 1)]
+    labels = spark.createDataFrame([(i, q, 0) for i, q in marks], "doc_id long, quality int, label int")
+    w, bias = quality.train(docs, labels, bits=bits)
+    mean = {i: sum(q for j, q in marks if j == i and q is not None) / sum(j == i and q is not None for j, q in marks) for i, _ in marks if i is not None}
+    ids = [i for i in mean if not held(i, 3, 1)]
+    hashes = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(doc_id) as h").collect()}
+    rows = [(plain_features(texts[i], bits) | {1 << bits: 1.0}, float(mean[i] >= 0.5)) for i in sorted(ids, key=lambda i: hashes[i])]
+    assert {y for _, y in rows} == {0.0, 1.0}
+    z, n, alpha, beta, l1, l2 = Counter(), Counter(), 0.3, 1.0, 0.002, 0.02
+    weight = lambda k: 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for k in order.permutation(len(rows)):
+            x, y = rows[k]
+            now = {j: weight(j) for j in x}
+            p = 1 / (1 + math.exp(-sum(now[j] * v for j, v in x.items())))
+            for j, v in x.items():
+                g = (p - y) * v
+                z[j] += g - (math.sqrt(n[j] + g * g) - math.sqrt(n[j])) / alpha * now[j]
+                n[j] += g * g
+    assert np.allclose(w, [weight(j) for j in range(1 << bits)], atol=1e-5) and math.isclose(bias, weight(1 << bits), abs_tol=1e-9)
+    for r in quality.score(docs.drop("score"), (w, bias), bits).collect():
+        want = bias + sum(v * w[j] for j, v in plain_features(texts[r.doc_id], bits).items())
+        assert math.isclose(r.score, 1 / (1 + math.exp(-want)), abs_tol=1e-6)
+    assert quality.Features(bits).batch([texts[3]])[0].tolist() != quality.Features(bits).batch([texts[7]])[0].tolist()
+
+
 def test_language(docs, corpus):
     got = langid.op8(docs).collect()
     want = {i: (lang, t) for i, t, lang, _ in corpus}

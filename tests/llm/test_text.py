@@ -129,6 +129,8 @@ def best(text, item):
     """Greatest stretch over all placements that share a seed."""
     tok = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     w, v, out = tok(text), tok(item), 0
+    if len(v) < decontam.SPAN:  # a short item occurs whole, or not at all
+        return len(v) if v and any(w[d : d + len(v)] == v for d in range(len(w))) else 0
     for d in range(-len(v), len(w)):
         if any(0 <= d + j and d + j + decontam.SPAN <= len(w) and j + decontam.SPAN <= len(v) and all(w[d + j + x] == v[j + x] for x in m) for m in decontam.MASKS for j in range(len(v) - decontam.SPAN + 1)):
             run = 0
@@ -143,11 +145,11 @@ def best(text, item):
 def leaks():
     rnd = random.Random(4)
     vocabulary = [f"w{i}" for i in range(150)]
-    items = [" ".join(rnd.choice(vocabulary) for _ in range(n)) for n in (40, 25, 12, 9, 8, 5)] + [None, "", "same " * 20]
+    items = [" ".join(rnd.choice(vocabulary) for _ in range(n)) for n in (40, 25, 12, 9, 8, 5, 1, 7)] + [None, "", "same " * 20]
     docs = []
     for _ in range(60):
         words = [rnd.choice(vocabulary) for _ in range(rnd.randrange(60))]
-        item = (rnd.choice(items[:6])).split()
+        item = (rnd.choice(items[:6] + items[7:8])).split()
         for _ in range(rnd.randrange(4)):
             item[rnd.randrange(len(item))] = "sub"
         a, b = sorted((rnd.randrange(len(item) + 1), rnd.randrange(len(item) + 1))) if rnd.random() < 0.3 else (0, len(item))
@@ -156,18 +158,33 @@ def leaks():
     return [*docs, None, "", items[0], items[4], "same " * 300], items
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_leaks_equal_brute_force(spark, leaks, monkeypatch, broadcast):
-    if not broadcast:
-        monkeypatch.setattr(decontam, "BROADCAST_SEEDS", 0)
+@pytest.mark.parametrize("most", [decontam.BROADCAST_SEEDS, 0])
+def test_leaks_equal_brute_force(spark, leaks, most):
     docs, items = leaks
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.matched for r in decontam.matches(frame(spark, docs), bench).collect()}
-    want = {(i, j): best(t, v) for i, t in enumerate(docs) for j, v in enumerate(items)}
-    assert got == {k: v for k, v in want.items() if v}
-    left = decontam.decontaminate(frame(spark, docs), bench)
-    assert sorted(r.doc_id for r in left.collect()) == sorted(set(range(len(docs))) - {i for i, _ in got})
-    assert decontam.matches(frame(spark, docs).limit(0), bench).count() == 0 and decontam.matches(frame(spark, docs), bench.limit(0)).count() == 0
+    bench = spark.createDataFrame([*enumerate(items), (0, "one more wording of w1"), (None, "an item without an id")], "item_id long, text string")
+    rows = [*enumerate(docs), (3, docs[3]), (3, docs[5]), (None, docs[0]), (None, items[1]), (None, "here is an item without an id")]
+    df = spark.createDataFrame([(i, t, 0, "k", "w") for i, t in rows], "doc_id long, text string, item_id int, key string, words string")
+    got = {(r.doc_id, r.item_id): r.matched for r in decontam.matches(df, bench, broadcast_seeds=most).collect()}
+    want = {}
+    for i, t in rows:
+        for r in bench.collect():
+            want[i, r.item_id] = max(best(t, r.text), want.get((i, r.item_id), 0))
+    assert got == {k: v for k, v in want.items() if v} and (None, None) in got
+    left = decontam.decontaminate(df, bench, broadcast_seeds=most)
+    bad = {i for i, _ in got}
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == sorted(i for i, _ in rows if i not in bad)
+    assert decontam.matches(df.limit(0), bench, broadcast_seeds=most).count() == 0 and decontam.matches(df, bench.limit(0), broadcast_seeds=most).count() == 0
+
+
+@pytest.mark.parametrize("most", [decontam.BROADCAST_SEEDS, 0])
+def test_very_long_texts(spark, most):
+    """20,000 words: repeated ones that match an item everywhere, and ones with a passage near the end."""
+    item, rnd = [f"i{j}" for j in range(40)], random.Random(1)
+    prose = [f"w{rnd.randrange(500)}" for _ in range(20_000)]
+    docs = ["same " * 20_000, " ".join([*prose[:19_000], *item, *prose[19_000:]]), " ".join(prose)] + [" ".join(prose[k : k + 12_000]) for k in range(6)]
+    bench = spark.createDataFrame([(0, "same " * 40), (1, " ".join(item)), (2, "same same")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.matched, r.start) for r in decontam.matches(frame(spark, docs), bench, decontam.SHARE, most).collect()}
+    assert got == {(0, 0, 40, 0), (0, 2, 2, 0), (1, 1, 40, 19_000)}
 
 
 def test_short_items_with_substitutions(spark):

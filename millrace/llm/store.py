@@ -4,19 +4,21 @@ A document's id stream is cut where a rolling hash over a window of ids hits a m
 give equal chunks wherever they lie. The store is two Parquet tables and a manifest:
 
 * ``chunks`` (digest, ids): each distinct chunk once, under the SHA-256 of its little-endian bytes;
-* ``recipes`` (doc_id, start, n_tokens, digests, lengths, root), in ascending doc_id order: which
-  chunks make a document, the ids of all documents before it, and the Merkle root of its chunks;
-* ``manifest``: one row a recipe file part, with its documents, ids and Merkle root, and the whole
-  store's width of an id.
+* ``recipes`` (doc_id, n_tokens, digests, lengths, root, part, row), in ascending doc_id order, `row` being the
+  place within the part: which chunks make a document, and the Merkle root of its chunks;
+* ``manifest`` (level, part, block, docs, ids, wide, root): a hash tree over the recipes. A leaf hashes a
+  recipe's doc_id, number of ids and root; a block node (level 2) BLOCK recipes in order, a part node
+  (level 1) its blocks, the store node (level 0) the parts. A node's hash covers its counts too.
 
 One pass encodes and cuts; chunks travel to their digest's task and recipes to their document's in one
 exchange, with chunks met before in the same task left out already, so a chunk that many documents
-share costs one row a task. Reading verifies every chunk's digest, every recipe's root and length, and
+share costs one row a task. Reading makes the tree anew from the recipes and holds every node against the
+manifest (and the store's root against a given one, if any), then verifies every chunk's digest, every recipe's root and length, and
 gets a document's CRC-32 by combining those of its chunks, so chunk bytes are never moved again;
-``reconstruct`` returns the ids themselves.
+``reconstruct`` returns the ids themselves, verified alike.
 
 Defined results: a null text counts as empty and holds the end id alone. Null doc_ids sort first;
-rows that repeat a doc_id are apart documents, in the order of their chunks. An empty table gives an
+rows that repeat a doc_id are apart documents, in the order of their roots. An empty table gives an
 empty store. Other columns are ignored.
 """
 
@@ -34,9 +36,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import words
-from millrace.llm.common import document_columns, drop_path, pieces, scratch_path, ship
+from millrace.llm.common import document_columns, drop_path, forget, pieces, scratch_path, ship, write_table
 
 WINDOW = 16
+#: Recipes under a node of the manifest.
+BLOCK = 4096
 MEAN = 512
 LEAST, MOST = 64, 4096
 #: Digests that a task remembers; beyond it starts anew, and the exchange drops the repeats.
@@ -132,8 +136,8 @@ def crc_join(parts: list[tuple[int, int]]) -> int:
 _ROW = "doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary, digest binary, ids binary, wide int"
 SCHEMAS = {
     "parts": f"{_ROW}, kind int",
-    "recipes": "doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary, wide int, part int, place long",
-    "manifest": "part int, docs long, ids long, wide int, seal long",
+    "recipes": "doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary, wide int, part int, row long",
+    "manifest": "level int, part int, block long, docs long, ids long, wide int, root string",
 }
 
 
@@ -200,25 +204,64 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield b.filter(pa.array(keep))
 
 
-def write_store(docs: DataFrame, where: str, tokenizer: str | None = None, end: int = 2) -> None:
-    """Encode, cut and write `docs` (doc_id, text) under the folder `where`."""
+def _nodes(children: DataFrame, level: int, *at: str) -> DataFrame:
+    """The parents of rows of (at..., place, docs, ids, wide, hash)."""
+    counts = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("docs", "ids")]
+    held = children.groupBy(*at).agg(*counts, F.coalesce(F.max("wide"), F.lit(0)).alias("wide"), F.array_sort(F.collect_list(F.struct("place", "hash"))).alias("below"))
+    named = [F.col(c) if c in at else F.lit(None).cast(kind).alias(c) for c, kind in (("part", "int"), ("block", "long"))]
+    parts = [F.lit(str(level)), *[F.col(c).cast("string") for c in ("docs", "ids", "wide")], F.array_join(F.transform("below", lambda x: x["hash"]), "")]
+    return held.select(F.lit(level).alias("level"), *named, "docs", "ids", "wide", F.sha2(F.concat_ws(":", *parts), 256).alias("root"))
+
+
+def tree(recipes: DataFrame) -> DataFrame:
+    """The manifest that `recipes` call for. A group is a block's recipes, a part's blocks, or the parts."""
+    leaf = F.sha2(F.concat_ws(":", F.lit("doc"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("n_tokens").cast("string"), F.hex("root")), 256)
+    rows = recipes.select("part", F.floor(F.col("row") / BLOCK).cast("long").alias("block"), F.col("row").alias("place"), F.lit(1).alias("docs"), F.col("n_tokens").alias("ids"), "wide", leaf.alias("hash"))
+    blocks = write_table(_nodes(rows, 2, "part", "block"), "nodes")
+    parts = _nodes(blocks.withColumnRenamed("root", "hash").withColumn("place", F.col("block")), 1, "part")
+    store = _nodes(parts.withColumnRenamed("root", "hash").withColumn("place", F.col("part")), 0)
+    out = write_table(blocks.union(parts).union(store), "tree")
+    forget(blocks)
+    return out
+
+
+def write_store(docs: DataFrame, where: str, tokenizer: str | None = None, end: int = 2) -> str:
+    """Encode, cut and write `docs` (doc_id, text) under the folder `where`; returns the store's root."""
     spark = docs.sparkSession
     rows = _encoded(docs, tokenizer, end)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     place = F.when(F.col("kind") == 0, F.xxhash64("root", "doc_id")).otherwise(F.xxhash64("digest"))
     both = rows.withColumn("place", place).repartition(n, "place").drop("place").sortWithinPartitions("kind", "digest")
     both.mapInArrow(_first_of_each, both.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{where}/parts")
-    parts = _table(spark, where, "parts")
-    # recipes in ascending doc_id order; a part's ids are summed first, then each document's within it
+    # recipes in ascending doc_id order; `copy` deals rows that are alike to several parts
+    order = [F.col("doc_id").asc_nulls_first(), F.col("root"), F.col("copy")]
     ordered = (
-        parts.where("kind = 0").select("doc_id", "n_tokens", "digests", "lengths", "root", "wide")
-        .repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
-        .withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
+        _table(spark, where, "parts").where("kind = 0").select("doc_id", "n_tokens", "digests", "lengths", "root", "wide", F.monotonically_increasing_id().alias("copy"))
+        .repartitionByRange(n, *order).sortWithinPartitions(*order).drop("copy")
+        .withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     )
     ordered.write.option("compression", "zstd").parquet(f"{where}/recipes")
-    recipes = _table(spark, where, "recipes")
-    manifest = recipes.groupBy("part").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("ids"), F.max("wide").alias("wide"), F.bit_xor(F.xxhash64("root", "place")).alias("seal"))
-    manifest.coalesce(1).write.parquet(f"{where}/manifest")
+    made = tree(_table(spark, where, "recipes"))
+    made.write.parquet(f"{where}/manifest")
+    forget(made)
+    return _table(spark, where, "manifest").where("level = 0").first().root
+
+
+def verify(spark: SparkSession, where: str, root: str | None = None) -> str:
+    """Hold the recipes against every node of the manifest, and its root against `root` if given; returns the root."""
+    held = _table(spark, where, "manifest")
+    top = held.where("level = 0").limit(2).collect()
+    if len(top) != 1 or root not in (None, top[0].root):
+        raise ValueError("the manifest's root does not match")
+    made = tree(_table(spark, where, "recipes"))
+    names = ["level", "part", "block", "docs", "ids", "wide", "root"]
+    count = lambda df, x: df.groupBy(*names).agg(F.count("*").alias(x))
+    both = count(made, "made").unionByName(count(held, "held"), allowMissingColumns=True).groupBy(*names).agg(F.sum("made").alias("made"), F.sum("held").alias("held"))
+    wrong = both.where("made is null or held is null or made <> 1 or held <> 1").limit(1).collect()
+    forget(made)
+    if wrong:
+        raise ValueError(f"the recipes do not match the manifest's node {wrong[0].level}, {wrong[0].part}, {wrong[0].block}")
+    return top[0].root
 
 
 def _chunk_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,28 +280,41 @@ def _chunks(spark: SparkSession, where: str) -> DataFrame:
     return _table(spark, where, "parts").where("kind = 1").select("digest", "ids", "wide")
 
 
-def _starts(spark: SparkSession, where: str) -> DataFrame:
-    """Recipes with `start`: the parts before, from the manifest, and the documents before within the part."""
-    recipes, manifest = (_table(spark, where, x) for x in ("recipes", "manifest"))
+def _recipes(spark: SparkSession, where: str, root: str | None) -> DataFrame:
+    """Verified recipes with `start`: the parts before, from the manifest, and the documents before within the part."""
+    verify(spark, where, root)
+    recipes, parts = _table(spark, where, "recipes"), _table(spark, where, "manifest").where("level = 1")
     # a row for each part: its number is the session's number of shuffle partitions at most
-    before = manifest.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("place")) - F.col("n_tokens")
-    return recipes.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("inside")).drop("before", "inside")
+    before = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("row")) - F.col("n_tokens")
+    return recipes.withColumn("inside", inside).join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("inside"))
+
+
+def _whole(n: int, root: bytes, parts: list[dict], held: str) -> None:
+    """Hold a recipe against its chunks; `held` names what a missing chunk lacks."""
+    if any(p[held] is None for p in parts) or sum(p["length"] for p in parts) != n or merkle([p["digest"] for p in parts]) != root:
+        raise ValueError("a recipe does not match its chunks")
+
+
+def _referenced(recipes: DataFrame, chunks: DataFrame, *fields: str) -> DataFrame:
+    """(doc_id, start, n_tokens, root, parts): each document's chunks in order, with `fields` of `chunks`."""
+    at = ["part", "row", "doc_id", "start", "n_tokens", "root"]
+    refs = recipes.select(*at, F.posexplode(F.arrays_zip("digests", "lengths")).alias("seq", "ref")).select(*at, "seq", F.col("ref.digests").alias("digest"), F.col("ref.lengths").alias("length"))
+    return refs.join(chunks, "digest", "left").groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "length", *fields))).alias("parts")).drop("part", "row")
 
 
-def read_back(spark: SparkSession, where: str) -> DataFrame:
+def read_back(spark: SparkSession, where: str, root: str | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, n_chunks), verified, from the store's files alone."""
     sums = _chunks(spark, where).mapInArrow(_chunk_sums, "digest binary, crc long, held int")
-    refs = _starts(spark, where).select("doc_id", "place", "start", "n_tokens", "root", F.posexplode(F.arrays_zip("digests", "lengths")).alias("seq", "ref"))
-    refs = refs.select("doc_id", "place", "start", "n_tokens", "root", "seq", F.col("ref.digests").alias("digest"), F.col("ref.lengths").alias("length"))
-    met = refs.join(sums, "digest", "left").groupBy("doc_id", "place", "start", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "length", "crc", "held"))).alias("parts"))
+    met = _referenced(_recipes(spark, where, root), sums, "crc", "held")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = {"doc_id": b.column("doc_id"), "start": b.column("start"), "n_tokens": [], "ids_crc32": [], "n_chunks": []}
-            for n, root, parts in zip(*(b.column(c).to_pylist() for c in ("n_tokens", "root", "parts")), strict=True):
-                if any(p["crc"] is None or p["held"] != p["length"] for p in parts) or sum(p["length"] for p in parts) != n or merkle([p["digest"] for p in parts]) != root:
-                    raise ValueError("a recipe does not match its chunks")
+            for n, tip, parts in zip(*(b.column(c).to_pylist() for c in ("n_tokens", "root", "parts")), strict=True):
+                _whole(n, tip, parts, "crc")
+                if any(p["held"] != p["length"] for p in parts):
+                    raise ValueError("a chunk does not match its recipe's length")
                 out["n_tokens"].append(n)
                 out["ids_crc32"].append(crc_join([(p["crc"], 4 * p["length"]) for p in parts]))
                 out["n_chunks"].append(len(parts))
@@ -267,14 +323,18 @@ def read_back(spark: SparkSession, where: str) -> DataFrame:
     return met.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks long")
 
 
-def reconstruct(spark: SparkSession, where: str) -> DataFrame:
-    """(doc_id, start, ids): each document's ids, put together from its chunks."""
-    refs = _starts(spark, where).select("doc_id", "place", "start", F.posexplode("digests").alias("seq", "digest"))
-    met = refs.join(_chunks(spark, where), "digest").groupBy("doc_id", "place", "start").agg(F.sort_array(F.collect_list(F.struct("seq", "ids", "wide"))).alias("parts"))
+def reconstruct(spark: SparkSession, where: str, root: str | None = None) -> DataFrame:
+    """(doc_id, start, ids): each document's ids, put together from its chunks and verified like ``read_back``."""
+    met = _referenced(_recipes(spark, where, root), _chunks(spark, where), "ids", "wide")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [[i for p in parts for i in np.frombuffer(p["ids"], f"<u{p['wide']}").tolist()] for parts in b.column("parts").to_pylist()]
+            ids = []
+            for n, tip, parts in zip(*(b.column(c).to_pylist() for c in ("n_tokens", "root", "parts")), strict=True):
+                _whole(n, tip, parts, "ids")
+                if any(hashlib.sha256(p["ids"]).digest() != p["digest"] or len(p["ids"]) != p["wide"] * p["length"] for p in parts):
+                    raise ValueError("a chunk does not match its address")
+                ids.append(np.concatenate([np.frombuffer(p["ids"], f"<u{p['wide']}").astype(np.int64) for p in parts] or [np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "start": b.column("start"), "ids": pa.array(ids, pa.list_(pa.int64()))})
 
     return met.mapInArrow(run, "doc_id long, start long, ids array<long>")

@@ -113,13 +113,57 @@ def test_op10_and_reconstruction(spark, docs, corpus, none, tmp_path):
     assert store.op10(docs).agg(F.sum("n_tokens")).first()[0] == sum(len(ids(t)) for _, t, *_ in corpus)
 
 
-def test_damage_is_found(spark, docs, tmp_path):
-    where = f"file://{tmp_path}/store"
-    store.write_store(docs.limit(5), where)
-    chunks = spark.read.parquet(f"{where}/parts")
-    bad = chunks.withColumn("ids", F.when(F.col("kind") == 1, F.expr("cast('zz' as binary)")))
-    bad.write.partitionBy("kind").parquet(f"{where}2/parts")
-    for t in ("recipes", "manifest"):
-        spark.read.parquet(f"{where}/{t}").write.parquet(f"{where}2/{t}")
-    with pytest.raises(Exception, match="does not match"):
-        store.read_back(spark, f"{where}2").collect()
+DAMAGE = {
+    "chunk bytes": ("parts", lambda df: df.withColumn("ids", F.when(F.col("kind") == 1, F.expr("cast('zz' as binary)")))),
+    "chunks gone": ("parts", lambda df: df.where("kind = 0")),
+    "a recipe gone": ("recipes", lambda df: df.where("doc_id <> 7")),
+    "a recipe twice": ("recipes", lambda df: df.union(df.where("doc_id = 7"))),
+    "two recipes swapped": ("recipes", lambda df: df.withColumn("doc_id", F.expr("case doc_id when 7 then 8 when 8 then 7 else doc_id end"))),
+    "order changed": ("recipes", lambda df: df.withColumn("row", F.when(F.col("doc_id") == 7, F.col("row") + 1000).otherwise(F.col("row")))),
+    "a number of ids": ("recipes", lambda df: df.withColumn("n_tokens", F.col("n_tokens") + F.when(F.col("doc_id") == 7, 1).otherwise(0))),
+    "a part gone": ("recipes", lambda df: df.where("part <> 1")),
+    "no recipes": ("recipes", lambda df: df.limit(0)),
+    "a part's count": ("manifest", lambda df: df.withColumn("ids", F.col("ids") + F.when(F.expr("level = 1 and part = 1"), 1).otherwise(0))),
+    "a block's root": ("manifest", lambda df: df.withColumn("root", F.when(F.expr("level = 2 and part = 1"), F.lit("0")).otherwise(F.col("root")))),
+    "the store's root": ("manifest", lambda df: df.withColumn("root", F.when(F.expr("level = 0"), F.lit("0")).otherwise(F.col("root")))),
+    "a node gone": ("manifest", lambda df: df.where("level <> 1 or part <> 1")),
+    "a node twice": ("manifest", lambda df: df.union(df.where("level = 1 and part = 1"))),
+    "no root": ("manifest", lambda df: df.where("level <> 0")),
+}
+
+
+@pytest.fixture(scope="module")
+def sound(spark, tmp_path_factory, docs):
+    where = f"file://{tmp_path_factory.mktemp('sound')}/store"
+    return where, store.write_store(docs.where("doc_id < 40"), where)
+
+
+@pytest.mark.parametrize("name", DAMAGE)
+def test_damage_is_found(spark, sound, tmp_path, name):
+    where, bad = sound[0], f"file://{tmp_path}/store"
+    table, change = DAMAGE[name]
+    for t in ("parts", "recipes", "manifest"):
+        df = store._table(spark, where, t)
+        (change(df) if t == table else df).write.partitionBy(*["kind"] * (t == "parts")).parquet(f"{bad}/{t}")
+    for read in (store.read_back, store.reconstruct):
+        with pytest.raises(Exception, match="not match"):
+            read(spark, bad).collect()
+
+
+def test_manifest_and_repeated_ids(spark, sound, docs, monkeypatch):
+    where, root = sound
+    assert store.verify(spark, where, root) == root and store.read_back(spark, where, root).count() == docs.where("doc_id < 40").count()
+    with pytest.raises(ValueError, match="not match"):
+        store.verify(spark, where, "0" * 64)
+    monkeypatch.setattr(store, "BLOCK", 3)  # several blocks a part
+    again = spark.createDataFrame([(1, "one text", 0)] * 9 + [(1, "another text", 0), (None, "x", 0), (None, None, 0)], "doc_id long, text string, row int")
+    there = f"{where}-again"
+    store.write_store(again, there)
+    levels = {r.level: r["count"] for r in store._table(spark, there, "manifest").groupBy("level").count().collect()}
+    assert levels[0] == 1 and levels[1] > 1 and levels[2] >= 4
+    rows = sorted(store.read_back(spark, there).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None] + [1] * 10
+    at = 0
+    for r in rows:
+        assert r.start == at
+        at += r.n_tokens

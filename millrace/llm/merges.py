@@ -6,8 +6,12 @@ occurrences together, compacts the array and puts aside words in which no pair i
 
 Merging occurrences together equals merging them one by one only if a fresh symbol never forms a
 pair that ranks as well as the merge that made it. Where a vocabulary breaks this, the merge is
-marked, and a word that would use it merges its leftmost occurrence alone in that round. Words over
-LONG symbols go through a heap instead (the same order of merges), so one endless word costs n log n.
+marked, and the round asks what pairs its fresh symbols would form, one after the other from the left: a word's
+occurrences after the first that makes such a pair wait for a later round.
+
+Words over LONG symbols have many rounds, so theirs touch only the places that change: symbols are linked
+to their neighbours, each rank holds the places of its pairs, and a round takes the least rank left in any
+word and merges all its places in the same way. The array is compacted once, when no pair remains.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ class PairTable:
         least = np.full(top, NONE, np.int64)
         np.minimum.at(least, left, rank)
         np.minimum.at(least, right, rank)
-        self.alone = np.append(least[new] <= rank, False)  # merges to take one at a time
+        self.alone = np.append(least[new] <= rank, False)  # a fresh symbol may form a pair of as good a rank
         bits = max(4, int(np.ceil(np.log2(max(n, 1) * 4))))
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.at = np.full(1 << bits, -1, np.int64), np.full(1 << bits, n, np.int64)
@@ -69,33 +73,88 @@ class PairTable:
         return out
 
 
-def merge_word(symbols: list[int], table: PairTable) -> list[int]:
-    """One word by a heap of (rank, place): the plain order of merges, for long words."""
-    n, sym = len(symbols), list(symbols)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    none = len(table.rank) - 1
-    found = table.find(np.array(sym[:-1], np.int64), np.array(sym[1:], np.int64)) if n > 1 else []
-    heap = [(int(table.rank[e]), i, int(e), sym[i], sym[i + 1]) for i, e in enumerate(found) if e != none]
-    heapq.heapify(heap)
-
-    def push(i: int, j: int) -> None:
-        if i >= 0 and j < n:
-            e = int(table.find(np.array([sym[i]]), np.array([sym[j]]))[0])
-            if e != none:
-                heapq.heappush(heap, (int(table.rank[e]), i, e, sym[i], sym[j]))
-
-    while heap:
-        _, i, e, a, b = heapq.heappop(heap)
-        j = after[i]
-        if sym[i] != a or j >= n or sym[j] != b:
+def _until_better(table: PairTable, entry: np.ndarray, word: np.ndarray, left: np.ndarray, right: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Which of a round's merges, in order, come before a fresh symbol in their word forms a pair of as good a rank.
+
+    `left` and `right` are the neighbours' symbols before the round, -1 for none; `follows` says that the left
+    neighbour is the symbol that the merge before makes.
+    """
+    new = table.new[entry]
+    left = np.where(follows, np.append(-1, new[:-1]), left)
+    best = np.full(len(new), NONE, np.int64)
+    for a, b in ((left, new), (new, right)):
+        have = np.flatnonzero((a >= 0) & (b >= 0))
+        best[have] = np.minimum(best[have], table.rank[table.find(a[have], b[have])])
+    bad = best <= table.rank[entry]
+    before = np.cumsum(bad) - bad
+    head = np.ones(len(word), bool)
+    head[1:] = word[1:] != word[:-1]
+    start = np.flatnonzero(head)
+    return before == np.repeat(before[start], np.diff(np.append(start, len(word))))
+
+
+def merge_long(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
+    """``merge_words`` by linked places: the work of a round is that of the merges it makes."""
+    n, none = len(symbols), len(table.rank) - 1
+    sym, word = symbols.astype(np.int32), np.repeat(np.arange(len(lengths)), lengths)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    ends = np.cumsum(lengths)
+    after[ends[lengths > 0] - 1] = n
+    before[(ends - lengths)[lengths > 0]] = -1
+    alive, entry = np.ones(n, bool), np.full(n, none)
+    waiting: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def look(at: np.ndarray) -> None:
+        """Find the pairs that begin at some places, and let them wait under their ranks."""
+        right = after[at]
+        entry[at] = none
+        have = right < n
+        at, right = at[have], right[have]
+        entry[at] = table.find(sym[at], sym[right])
+        at = at[entry[at] != none]
+        rank = table.rank[entry[at]]
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        for part, first in zip(np.split(at, cuts := np.flatnonzero(np.diff(rank)) + 1), np.append(0, cuts).tolist(), strict=True):
+            if len(part):
+                r = int(rank[first])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(part)
+
+    look(np.arange(n))
+    while ranks:
+        r = heapq.heappop(ranks)
+        at = np.unique(np.concatenate(waiting.pop(r)))
+        at = at[alive[at] & (table.rank[entry[at]] == r)]
+        if not len(at):
             continue
-        sym[i], sym[j] = int(table.new[e]), -1
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        push(before[i], i)
-        push(i, after[i])
-    return [s for s in sym if s != -1]
+        place = np.arange(len(at))
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = after[at[:-1]] != at[1:]
+        take = ((place - np.maximum.accumulate(np.where(fresh, place, 0))) & 1) == 0
+        if table.alone[entry[at]].any():
+            some = at[take]
+            end = after[after[some]]
+            follows = np.zeros(len(some), bool)
+            follows[1:] = end[:-1] == some[1:]
+            beyond = np.where(end < n, sym[np.minimum(end, n - 1)], -1)
+            keep = _until_better(table, entry[some], word[some], np.where(before[some] >= 0, sym[before[some]], -1), beyond, follows)
+            if not keep.all():
+                take[take] = keep
+                waiting[r] = [at[~take]]  # those that overlap a merge are dropped then
+                heapq.heappush(ranks, r)
+        left = at[take]
+        right = after[left]
+        further = after[right]
+        sym[left], after[left], alive[right], entry[right] = table.new[entry[left]], further, False, none
+        inside = further < n
+        before[further[inside]] = left[inside]
+        back = before[left]
+        look(np.unique(np.concatenate([left, back[back >= 0]])))
+    return sym[alive], np.bincount(word[alive], minlength=len(lengths))
 
 
 def merge_words(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
@@ -105,13 +164,12 @@ def merge_words(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> t
     parts: list[tuple[np.ndarray, np.ndarray]] = []  # (word of each symbol, symbol)
     word = np.repeat(np.arange(n_words), lengths)
     sym = symbols.astype(np.int32)
-    if (lengths > LONG).any():
-        ends = np.cumsum(lengths)
-        for w in np.flatnonzero(lengths > LONG):
-            got = merge_word(sym[ends[w] - lengths[w] : ends[w]].tolist(), table)
-            parts.append((np.full(len(got), w), np.array(got, np.int32)))
-        keep = lengths[word] <= LONG
-        word, sym = word[keep], sym[keep]
+    long = lengths > LONG
+    if long.any():
+        mine = long[word]
+        got, sizes = merge_long(sym[mine], lengths[long], table)
+        parts.append((np.repeat(np.flatnonzero(long), sizes), got))
+        word, sym = word[~mine], sym[~mine]
     while len(sym):
         n = len(sym)
         head = np.ones(n, bool)
@@ -137,11 +195,15 @@ def merge_words(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> t
         fresh = chosen.copy()
         fresh[1:] &= ~chosen[:-1]
         take = chosen & (((place - np.maximum.accumulate(np.where(fresh, place, 0))) & 1) == 0)
-        alone = np.logical_or.reduceat(chosen & table.alone[at], start)
-        if alone.any():
-            count = np.cumsum(take)
-            first = take & (count - np.repeat(count[start] - take[start], size) == 1)
-            take = np.where(np.repeat(alone, size), first, take)
+        if table.alone[at[take]].any():
+            some = np.flatnonzero(take)
+            own = word[some]
+            follows = np.zeros(len(some), bool)
+            follows[1:] = (some[:-1] + 2 == some[1:]) & (own[:-1] == own[1:])
+            back, end = np.maximum(some - 1, 0), np.minimum(some + 2, n - 1)
+            left = np.where((some > 0) & (word[back] == own), sym[back], -1)
+            right = np.where((some + 2 < n) & (word[end] == own), sym[end], -1)
+            take[some] = _until_better(table, at[some], own, left, right, follows)
         hit = np.flatnonzero(take)
         sym[hit] = table.new[at[hit]]
         keep = np.ones(n, bool)
@@ -168,15 +230,15 @@ class _Index(dict):
 
 
 class UnitStore:
-    """Units of text met before and their ids, so each is merged once; emptied beyond `limit` units."""
+    """Units of text met before and their ids, so each is merged once; emptied beyond `limit` units or `size` bytes."""
 
-    def __init__(self, encode, limit: int = 300_000):  # noqa: ANN001
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode, limit: int = 300_000, size: int = 64 << 20):  # noqa: ANN001
+        self.encode, self.limit, self.size = encode, limit, size
         self.clear()
 
     def clear(self) -> None:
         self.index = _Index()
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.flat, self.used, self.chars = np.zeros(1 << 16, np.int32), 0, 0
         self.offset, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def add(self, units: list[str]) -> None:
@@ -190,10 +252,11 @@ class UnitStore:
         self.length[n : n + m] = lengths
         self.offset[n : n + m] = self.used + np.cumsum(lengths) - lengths
         self.used += len(flat)
+        self.chars += sum(map(len, units))
 
     def ids(self, units: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The flat ids of all lists of units, and each list's number of ids."""
-        if len(self.index) > self.limit:
+        if len(self.index) > self.limit or 4 * (self.used + self.chars) > self.size:
             self.clear()
         every = list(chain.from_iterable(units))
         at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))

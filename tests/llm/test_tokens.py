@@ -45,12 +45,47 @@ def test_decode_any_ids(library):
         assert model.decode(np.array(ids, np.int32), np.array([len(ids)])) == [library.decode(ids)]
 
 
-def test_rounds_equal_the_heap():
+def merged(symbols, rank, new):
+    """The plain order: the least rank, leftmost, one at a time."""
+    out = list(symbols)
+    while True:
+        found = min(((rank[p], i) for i, p in enumerate(zip(out, out[1:], strict=False)) if p in rank), default=None)
+        if found is None:
+            return out
+        i = found[1]
+        out[i : i + 2] = [new[out[i], out[i + 1]]]
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_rounds_equal_the_plain_order(monkeypatch, odd):
+    """Random merge tables, with `odd` ones whose merges make pairs of a lower or equal rank; short and long ways."""
+    for trial in range(30):
+        r = random.Random(trial)
+        pairs, n = {}, 4
+        for _ in range(40):
+            pair = (r.randrange(n), r.randrange(n))
+            if pair not in pairs:
+                pairs[pair], n = n, n + 1
+        keys = list(pairs)
+        order = [r.randrange(12) for _ in keys] if odd else range(len(keys))
+        rank = dict(zip(keys, order, strict=True))
+        columns = [np.array(x, np.int64) for x in ([a for a, _ in keys], [b for _, b in keys], list(order), list(pairs.values()))]
+        table = merges.PairTable(*columns)
+        units = [[r.randrange(r.choice((1, 2, 4))) for _ in range(r.randrange(1, 60))] for _ in range(40)]
+        want = [merged(u, rank, pairs) for u in units]
+        for long in (0, 20, 512):
+            monkeypatch.setattr(merges, "LONG", long)
+            assert split(*merges.merge_words(np.array(sum(units, [])), np.array([len(u) for u in units]), table)) == want
+
+
+def test_endless_words(library):
+    """Units of hundreds of thousands of characters equal the library's, in about linear time."""
     model = pieces.PieceModel(pieces.model_bytes())
-    units = ["".join(rnd.choice("theranding") for _ in range(rnd.randrange(1, 200))) for _ in range(200)]
-    symbols = [model.of_char[[ord(c) for c in u]] for u in units]
-    flat, sizes = merges.merge_words(np.concatenate(symbols), np.array([len(u) for u in units]), model.table)
-    assert split(flat, sizes) == [merges.merge_word(s.tolist(), model.table) for s in symbols]
+    texts = ["z" * 200_000, "".join(rnd.choice("etaoinshrdlu") for _ in range(100_000)), "".join(chr(rnd.randrange(0x4E00, 0x5E00)) for _ in range(50_000)), "ab" * 60_000]
+    for text, got in zip(texts, split(*model.encode(texts)), strict=True):
+        assert got == library.encode(text, add_bos=True, add_eos=True)
+    model.encode(["x"])
+    assert len(model.store.index) == 1 or 4 * (model.store.used + model.store.chars) <= model.store.size
 
 
 def test_store_of_units_forgets():
@@ -58,7 +93,11 @@ def test_store_of_units_forgets():
     model.store.limit = 5
     texts = ["one two three four five six seven", "one nine ten"]
     first = [split(*model.encode(texts)) for _ in range(3)]
-    assert first[0] == first[1] == first[2]
+    model.store.limit, model.store.size = 300_000, 100
+    first.append(split(*model.encode(texts)))
+    model.encode(["ten"])
+    assert len(model.store.index) == 1  # emptied by bytes
+    assert first[0] == first[1] == first[2] == first[3]
 
 
 def test_op6(docs, corpus, none, library):

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import ann, neardup, shingles
 from millrace.llm.graph import components
@@ -157,7 +158,8 @@ SHAPE = "vec_id long, embedding array<float>, label int, rank int, score double"
 
 
 def test_nearest(spark, monkeypatch):
-    monkeypatch.setattr(ann, "QUERIES", 5)  # several blocks
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 5 * 8 * 70)  # several blocks
+    monkeypatch.setattr(ann, "TILE", 3)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(6, 70))
     x = (centres[rng.integers(0, 6, 600)] + 0.5 * rng.normal(size=(600, 70))).astype(np.float32)
@@ -187,16 +189,63 @@ def test_few_or_no_candidates(spark):
     assert ann.op3(two.limit(0)).count() == 0 and ann.op3(two.where("vec_id = 7")).count() == 0
 
 
+def test_any_doubles_and_repeated_ids(spark):
+    """Components from 1e-170 to 1e200, subnormal ones, and rows that share a vec_id: equal to exact cosines."""
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    rnd = random.Random(3)
+    rows = [(50 * k, [rnd.choice((-1, 1)) * rnd.random() * 10.0 ** rnd.choice(e) for _ in range(4)]) for k, e in enumerate([(-170, -169), (200, 199), (0, 1), (-170, 200), (-310, -309), (307,)])]
+    rows += [(0, [1e-170, 2e-170, 0.0, 0.0]), (0, [1e-170, 2e-170, 0.0, 0.0]), (7, [5e-324, 0.0, 0.0, 0.0]), (9, [1e200, 1e200]), (9, [-1e200, 1e-200])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, row int")
+
+    def cosine(a, b):
+        a, b = ([*map(Decimal, x), *[Decimal(0)] * (4 - len(x))] for x in (a, b))
+        length = lambda x: sum(c * c for c in x).sqrt()
+        return float(sum(c * d for c, d in zip(a, b, strict=True)) / (length(a) * length(b)))
+
+    want = []
+    for k, (q, a) in enumerate(rows):
+        if q % 50 == 0:
+            want.append((q, [(round(s, 9), i) for s, i in sorted(((cosine(a, b), i) for j, (i, b) in enumerate(rows) if j != k), key=lambda x: (-round(x[0], 9), x[1]))[:5]]))
+    for exact in (False, True):
+        got = {}
+        for r in ann.search(df, F.col("vec_id") % 50 == 0, exact=exact).collect():
+            got.setdefault((r.query_id, r["rank"]), []).append((round(r.score, 9), r.vec_id))
+        for rank in range(1, 6):
+            for q in {q for q, _ in want}:
+                assert sorted(got[q, rank]) == sorted(best[rank - 1] for i, best in want if i == q), (q, rank, exact)
+    other = spark.createDataFrame([(3, [2e-170, 4e-170], 0)], "vec_id long, embedding array<double>, row int")
+    assert [(r.query_id, r.vec_id, round(r.score, 9)) for r in ann.search(df, other, 2).collect()] == [(3, 0, 1.0), (3, 0, 1.0)]
+
+
+def test_recall_on_a_whole_table(spark):
+    """Against all pairs on sf0.1's vectors: at least 0.9 of the five nearest by codes, all of them in the exact mode."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in df.collect()]
+    ids, x = np.array([i for i, _ in rows]), ann.unit(np.stack([v for _, v in rows]))
+    q = np.flatnonzero(ids % 50 == 0)
+    scores = x[q] @ x.T
+    scores[np.arange(len(q)), q] = -2
+    fifth = np.sort(scores, axis=1)[:, -5]
+    for exact, least in ((False, 0.99), (True, 1.0)):
+        got = ann.search(df, F.col("vec_id") % 50 == 0, exact=exact).collect()
+        floor = dict(zip(ids[q].tolist(), fifth.tolist(), strict=True))
+        hits = sum(r.score >= floor[r.query_id] - 1e-9 for r in got)
+        print("recall", exact, hits / (5 * len(q)))
+        assert len(got) == 5 * len(q) and hits >= least * len(got)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2000, 64))
     codec = ann.Codec(x[:500], 64)
     codes, near, *scalars = codec.encode(x)
-    block, over, n = ann.Block(codec, np.arange(20), x[:20]), 0, 0
+    block, over, n = ann.Block(codec, np.arange(20), np.arange(20), x[:20]), 0, 0
     u = ann.unit(x)
     for c in np.unique(near):
         rows = near == c
-        upper = block.bounds(int(c), codes[rows].view("<u8"), *(s[rows] for s in scalars))
+        upper = block.bounds(np.arange(20), int(c), codes[rows].view("<u8"), *(s[rows] for s in scalars))
         true = u[:20] @ u[rows].T
         over, n = over + (true > upper).sum(), n + true.size
     assert over < 0.01 * n

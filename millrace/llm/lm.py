@@ -1,14 +1,14 @@
 """Language-model scoring by a hidden Markov model over words.
 
 Tokens are lower-cased words and one end a document. Words of the training rows are counted exactly.
-The HOT most frequent have an emission of their own; all others share one by the hash of their last
+The HOT most frequent of at most HOT_BYTES bytes have an emission of their own; all others share one by the hash of their last
 three bytes, and within it a word has its share of counts plus one, an unseen one a single share. So
 emissions are a bounded table whatever the vocabulary, and every text has an exact probability:
 
     P(text) = P_hmm(emission classes of its tokens) x product over rare tokens of (c + 1) / (C_class + 1)
 
-where C_class sums c + 1 over the class's words. Baum-Welch starts on a bounded sample of training
-documents; then every round's expected counts cover all training rows: each task sums them over its
+where C_class sums c + 1 over the class's words. Baum-Welch starts on a bounded sample of whole training
+documents (`sample_docs` of those of at most `sample_chars` characters; the shortest one if there is none); then every round's expected counts cover all training rows: each task sums them over its
 whole documents (whose stretches of SEGMENT tokens walk side by side and are joined exactly), they are added across tasks, and the driver normalises one bounded table.
 Scoring runs the scaled forward recursion over whole documents, many side by side.
 
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import document_columns, pieces, remainder, sampled, ship, write_table
 
 STATES, HOT, CLASSES, ROUNDS, SEGMENT = 8, 1 << 15, 1 << 15, 2, 256
+#: Bytes of a word that may have an emission of its own, so that all of them together are bounded.
+HOT_BYTES = 64
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ROUNDS = 600, 20_000, 12
 #: Words that a task counts before it passes them on; bounds its memory.
 HELD = 300_000
@@ -239,8 +241,8 @@ class Trained:
         self.counts, self.total, self.distinct = counts, total, distinct
 
 
-def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Trained:
-    """Learn from all of `docs` (doc_id, text)."""
+def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Trained:
+    """Learn from all of `docs` (doc_id, text); the two last parameters bound the sample that the first model is made from."""
     spark = docs.sparkSession
     ship(spark)
     counts = write_table(docs.select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
@@ -248,22 +250,24 @@ def train(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Traine
     # the HOT words: from whole bins of the logarithm of the count, the greatest first, as many as fit
     step = F.floor(F.log2("c") * 32)
     cut, held = None, 0
-    for b, n in sorted(counts.groupBy(step.alias("b")).count().collect(), reverse=True):  # at most 32 x 64 rows
+    short = F.length("word") <= HOT_BYTES
+    for b, n in sorted(counts.where(short).groupBy(step.alias("b")).count().collect(), reverse=True):  # at most 32 x 64 rows
         held += n
         if held > HOT:
             break
         cut = b
-    top = sorted(counts.where(step >= cut).collect(), key=lambda r: (-r.c, r.word)) if cut is not None else []  # at most HOT rows
+    top = sorted(counts.where(short & (step >= cut)).collect(), key=lambda r: (-r.c, r.word)) if cut is not None else []  # at most HOT rows
     hot = {bytes(r.word): i for i, r in enumerate(top)}
     mass = np.zeros(HOT + CLASSES)
     mass[: len(top)] = [r.c + 1 for r in top]
-    rare = counts.where(step < cut) if cut is not None else counts
+    rare = counts.where(~short | (step < cut)) if cut is not None else counts
     key = F.crc32(F.expr("substring(word, -3, 3)")) % CLASSES
     for k, m in rare.groupBy(key.alias("k")).agg(F.sum(F.col("c") + 1)).collect():  # at most CLASSES rows
         mass[HOT + k] = m
     share = (mass + 1) / (mass + 1).sum()
-    sample = sampled(docs.where(F.length("text") <= SAMPLE_CHARS), "doc_id", SAMPLE_DOCS)
-    model = first_model([r.text for r in sample.collect()], hot, share, states)
+    sample = sampled(docs.where(F.length("text") <= sample_chars), "doc_id", sample_docs).collect()
+    sample = sample or docs.where("text is not null").orderBy(F.length("text"), "text").limit(1).collect()
+    model = first_model([r.text for r in sample], hot, share, states)
     sums = [F.sum(F.col("v")[s]).alias(f"v{s}") for s in range(states)]
     for _ in range(rounds):
         held = spark.sparkContext.broadcast((model, hot))  # (HOT + CLASSES) x states numbers, HOT words

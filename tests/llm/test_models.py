@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import langid, lm, quality
 
@@ -214,6 +215,40 @@ def test_language_model(docs, corpus):
         assert math.isclose(r.base_score, base, rel_tol=1e-9, abs_tol=1e-9) and r.score < 0
 
 
+def test_scores_equal_plain_forward(spark):
+    """The final score token by token: emission classes, the scaled forward sum and a rare word's share; very long texts and words, ties, odd columns."""
+    rnd = np.random.default_rng(3)
+    vocabulary = [f"w{k}" for k in range(60)] + ["Tie", "tie", "x" * 64, "x" * 65, "y" * 5000, "z" * 5000]
+    texts = [" ".join(rnd.choice(vocabulary, rnd.integers(0, 40))) for _ in range(60)] + [" ".join(rnd.choice(vocabulary, 3000)), None, "", "never seen words"]
+    df = spark.createDataFrame([(i, t, 1, 2, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, row int, c int, score double")
+    learned = [i for i in range(len(texts)) if not held(i, 7, 2)]
+    plain = df.select("doc_id", "text").where(F.col("doc_id").isin(learned))
+    trained = lm.train(plain, sample_chars=100_000)
+    assert lm.train(plain, sample_chars=0, rounds=1).total == trained.total  # without a text short enough the shortest starts
+    count = Counter()
+    for i in learned:
+        count.update(lm.words(texts[i]))
+    assert set(trained.hot) == {w for w in count if len(w) <= 64} and (b"x" * 64) in trained.hot
+    rare = Counter()
+    for w, c in count.items():
+        if w not in trained.hot:
+            rare[zlib.crc32(w[-3:]) % lm.CLASSES] += c + 1
+    assert rare[zlib.crc32(b"yyy") % lm.CLASSES] == count[b"y" * 5000] + 1
+    model = trained.model
+    for r in lm.op1(df).collect():
+        w = lm.words(texts[r.doc_id])
+        total, alpha = 0.0, None
+        for x in w:
+            k = trained.hot.get(x, lm.HOT + zlib.crc32(x[-3:]) % lm.CLASSES)
+            moved = model.start if alpha is None else [sum(alpha[a] * model.move[a, b] for a in range(lm.STATES)) for b in range(lm.STATES)]
+            alpha = [moved[b] * model.emit[k, b] for b in range(lm.STATES)]
+            scale = sum(alpha)
+            alpha, total = [v / scale for v in alpha], total + math.log10(scale)
+            if x not in trained.hot:
+                total += math.log10((count[x] + 1) / (rare[k - lm.HOT] + 1))
+        assert math.isclose(r.score, total, rel_tol=1e-7, abs_tol=1e-7), texts[r.doc_id]
+
+
 def test_language_model_empty(none, docs):
     assert lm.op1(none).count() == 0
     few = docs.where("doc_id is not null").limit(1)

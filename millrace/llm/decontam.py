@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import document_columns, write_table
+from millrace.llm.common import document_columns, row_key, write_table
 
 SPAN = 8
 #: The token places that each mask looks at. By enumeration, an item of 8 to 25 tokens keeps a seed of one of them
@@ -87,9 +87,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float | None = None, b
     """(doc_id, item_id, matched, item_tokens, start): `start` is the item's first token's place in the text."""
     items = document_columns(benchmark, "item_id", "text").where("text is not null").withColumn("copy", F.xxhash64("text"))
     texts = document_columns(docs, "doc_id", "text").where("text is not null")
-    # a row's key is a digest of its id and text, so that it is the same whenever the table is read
-    named = F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), F.lit("\0"), F.col("text"))
-    texts = texts.withColumn("key", F.unhex(F.md5(named.cast("binary"))))
+    texts = texts.withColumn("key", row_key(F.col("doc_id"), F.col("text")))
     laid = placements(texts.select("key", "text"), items, broadcast_seeds)
     whole = items.withColumn("item", tokens(F.col("text"))).select(F.col("item_id").alias("_item"), F.col("copy").alias("_copy"), "item").dropDuplicates(["_item", "_copy"])
     keys = laid.select("key").distinct()

@@ -8,29 +8,30 @@
    rest are verified on full shingle sets. Verified links contract to components.
 4. Buckets that still hold classes of different components get the links a star can miss: classes in
    small buckets all meet across components; those of larger ones are joined exactly by a prefix filter,
-   rarest shingles first, again in stars and then across components. Components are final after this.
+   rarest shingles first, again in stars and then across components. A bucket that is large even then is dealt
+   to units of at most 2 x UNIT classes, which compare registers in numpy; only pairs that reach the estimate leave
+   a unit. Components are final after this.
 
 Bands are as few and wide as leave a pair at the threshold a chance of MISSED at most to share none: 32 of 6
 registers at 0.85 (3e-7, less above), 48 of 4 at 0.8 (1e-11). The estimate's standard error is 0.026 at 0.85 and
 0.029 at 0.8, so MARGIN is over 5 of them. No bucket is capped and no document dropped.
 
 Defined results: a null or empty text, or one of white space, has an empty set, is linked with nothing
-and kept. Documents that repeat a doc_id are told apart by their text; a repeated row is one document. A null
+and kept. Documents that repeat a doc_id are told apart by a 128-bit digest of id and text; a repeated row is one document. A null
 doc_id is the least id. Other columns are ignored, and kept by ``first_of_groups``.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import shingles as S
-from millrace.llm.common import document_columns, forget, pieces, ship, write_table
+from millrace.llm.common import document_columns, forget, pieces, row_key, ship, write_table
 from millrace.llm.graph import components
 
 MARGIN = 0.16
@@ -38,23 +39,20 @@ MARGIN = 0.16
 MISSED = 1e-6
 #: Buckets of at most so many classes compare all of them across components.
 SMALL = 48
-#: Cells that count shingles for the prefix filter's order.
-CELLS = 1 << 16
+#: Classes of a large bucket that a unit takes from each of two parts.
+UNIT = 512
+#: Cells that count shingles for the prefix filter's order: what occurs in more than a millionth of all sets' shingles stands out.
+CELLS = 1 << 20
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of steps whose results are written."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
-def _unique(docs: DataFrame) -> bool:
-    return docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
-
-
-def _node(unique: bool) -> Column:
-    """A document's number: its id where ids are unique, else a hash of id and text."""
-    return F.col("doc_id").cast("long") if unique else F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")
+def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """`docs` with `_node`, a document's number: its id where ids are unique (then True), else one given to each distinct (id, text)."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("_node", F.col("doc_id").cast("long")), True
+    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
+    # numbers are fixed once they are written
+    known = write_table(keyed.select("_key").distinct().withColumn("_node", F.monotonically_increasing_id()), "numbers")
+    return keyed.join(known, "_key").drop("_key"), False
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
@@ -151,11 +149,43 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _across(keyed: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of buckets that hold several components: members of small ones, and of larger ones."""
+    """Of buckets that hold several components: members of small ones, and of larger ones with their size."""
     held = keyed.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     held = write_table(held.select("key", "rep", "n", "place", "label"), "buckets")
     mixed = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    return held.join(mixed.where(f"size <= {SMALL}").select("key"), "key"), held.join(mixed.where(f"size > {SMALL}").select("key"), "key")
+    return held.join(mixed.where(f"size <= {SMALL}").select("key"), "key"), held.join(mixed.where(f"size > {SMALL}").select("key", "size"), "key")
+
+
+def _units(large: DataFrame, classes: DataFrame, num: int, den: int, least: float) -> DataFrame:
+    """``_meet`` and ``_estimated`` for large buckets: pairs are compared within units, and only near ones leave."""
+    parts = F.ceil(F.col("size") / UNIT).cast("int")
+    dealt = large.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
+    dealt = dealt.join(classes.select("rep", "sig"), "rep").select("key", "lo", "hi", "part", "rep", "n", "place", "label", "sig")
+
+    def run(unit: pa.Table) -> pa.Table:
+        part, rep, n, place, label = (unit.column(c).to_numpy() for c in ("part", "rep", "n", "place", "label"))
+        lo, hi = unit.column("lo")[0].as_py(), unit.column("hi")[0].as_py()
+        sig = np.frombuffer(b"".join(unit.column("sig").to_pylist()), "<u2").reshape(len(rep), -1)
+        left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        out = [np.zeros((0, 2), np.int64)]
+        for i in range(0, len(left), 16):
+            a = left[i : i + 16]
+            room = np.minimum.outer(n[a] - place[a], n[right] - place[right])
+            total = np.add.outer(n[a], n[right])
+            near = (np.minimum.outer(n[a], n[right]) * den >= np.maximum.outer(n[a], n[right]) * num) & (room * (num + den) >= total * num)
+            x, y = np.nonzero(near & (label[a][:, None] != label[right]))
+            if lo == hi:
+                x, y = x[rep[a[x]] < rep[right[y]]], y[rep[a[x]] < rep[right[y]]]
+            for j in range(0, len(x), 8192):
+                p, q = a[x[j : j + 8192]], right[y[j : j + 8192]]
+                hit = S.estimate(sig[p], sig[q]) >= least
+                out.append(np.stack([np.minimum(rep[p[hit]], rep[q[hit]]), np.maximum(rep[p[hit]], rep[q[hit]])], 1))
+        pairs = np.concatenate(out)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return dealt.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
 
 
 def _meet(bucket: DataFrame, num: int, den: int) -> DataFrame:
@@ -181,14 +211,13 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for b in batches:
-            for raw in b.column("set").to_pylist():
-                total += np.bincount(_cell(np.frombuffer(raw, "<u8")), minlength=CELLS)
+            total += np.bincount(_cell(np.frombuffer(b"".join(b.column("set").to_pylist()), "<u8")), minlength=CELLS)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "n"])
 
     out = np.zeros(CELLS, np.int64)
-    for cell, n in sets.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
-        out[cell] = n
+    found = sets.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
@@ -217,14 +246,19 @@ def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     return sets.mapInArrow(run, "key long, rep long, n long, place int")
 
 
-def grouped(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, unique: bool | None = None) -> DataFrame:
+def grouped(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(node, doc_id, n, component_id, label) of (doc_id, text) rows: sets of k-word shingles, linked where den * common >= num * union.
 
     `label` tells groups apart also where two have the same least doc_id.
     """
+    return _grouped(*numbered(document_columns(docs, "doc_id", "text")), k, num, den)
+
+
+def _grouped(docs: DataFrame, unique: bool, k: int, num: int, den: int) -> DataFrame:
     ship(docs.sparkSession)
-    docs = document_columns(docs, "doc_id", "text")
-    docs = docs.withColumn("node", _node(_unique(docs) if unique is None else unique))
+    docs = docs.select(F.col("_node").alias("node"), "doc_id", "text")
+    if not unique:  # the join that numbers the rows is made once
+        docs = write_table(docs, "numbered")
     least = num / den - MARGIN
     seen = write_table(signed(docs, k), "signed")
     every = seen.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("node").alias("rep"), F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("first"), F.count("*").alias("size"))
@@ -232,12 +266,9 @@ def grouped(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, unique:
     classes = write_table(seen.join(every.select(F.col("rep").alias("node")), "node", "left_semi").select(F.col("node").alias("rep"), "n", "sig").dropDuplicates(["rep"]), "representatives")
     keyed = write_table(_stars(_banded(classes, bands(num, den))).drop("size"), "stars")
     pairs = write_table(_estimated(keyed.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), classes, least), "pairs")
-    _release(docs)
     sets = write_table(full_sets(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), k), "sets")
-    _release(docs)
     links = write_table(_verified(pairs, sets, num, den), "links")
     labels = components(links)
-    _release(docs)
     small, large = _across(keyed, labels)
     more = _estimated(_meet(small, num, den).join(pairs, ["a", "b"], "left_anti"), classes, least)
     crowd = write_table(large.select("rep").distinct(), "crowd")
@@ -251,7 +282,7 @@ def grouped(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, unique:
         links = write_table(links.union(_verified(star, sets, num, den)), "links")
         labels = components(links)
         small, large = _across(rare, labels)
-        more = more.union(_estimated(_meet(small, num, den), classes, least)).union(_estimated(_meet(large, num, den), classes, least))
+        more = more.union(_estimated(_meet(small, num, den), classes, least)).union(_units(large, classes, num, den, least))
     more = write_table(more.distinct(), "pairs")
     if not more.isEmpty():
         missing = more.select(F.col("a").alias("rep")).union(more.select("b")).distinct().join(sets.select("rep"), "rep", "left_anti")
@@ -259,7 +290,6 @@ def grouped(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, unique:
         found = write_table(_verified(more, sets, num, den), "links")
         if not found.isEmpty():
             labels = components(links.union(found))
-    _release(docs)
     # classes to components, components to their least doc_id, documents to classes
     named = every.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     lowest = named.groupBy("label").agg(F.min("first").alias("lowest"))
@@ -279,10 +309,10 @@ def first_of_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
     Of several texts of that doc_id one stays; of rows that repeat a doc_id and its text one stays, whichever.
     """
-    unique = _unique(docs)
-    found = grouped(docs, k, num, den, unique)
+    docs, unique = numbered(docs)
+    found = _grouped(docs, unique, k, num, den)
     if unique:
         keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("node").alias("_kept"))
-        return docs.join(keep, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+        return docs.join(keep, F.col("_node") == F.col("_kept"), "left_semi").drop("_node")
     keep = found.groupBy("label").agg(F.min(F.struct("doc_id", "node"))["node"].alias("_kept")).select("_kept")
-    return docs.withColumn("_node", _node(unique)).join(keep, F.col("_node") == F.col("_kept"), "left_semi").dropDuplicates(["_node"]).drop("_node")
+    return docs.join(keep, F.col("_node") == F.col("_kept"), "left_semi").dropDuplicates(["_node"]).drop("_node")

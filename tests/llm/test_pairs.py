@@ -67,6 +67,7 @@ def frame(spark, texts):
 @pytest.mark.parametrize(("k", "num", "small"), [(3, 85, 48), (3, 85, 1), (5, 80, 1)])
 def test_groups_equal_brute_force(spark, family, monkeypatch, k, num, small):
     monkeypatch.setattr(neardup, "SMALL", small)  # 1: every mixed bucket takes the way of the large ones
+    monkeypatch.setattr(neardup, "UNIT", 512 if small > 1 else 3)
     got = {r.doc_id: r for r in neardup.grouped(frame(spark, family), k, num, 100).collect()}
     held = sets(family, k)
     assert {i: r.n for i, r in got.items()} == {i: len(s) for i, s in held.items()}
@@ -104,6 +105,41 @@ def test_first_of_groups_with_repeated_ids(spark):
     assert one.count() == 1 and one.columns == df.columns
 
 
+def test_units_lose_no_pair(spark):
+    """A large bucket dealt to units: the same pairs as all against all, by the same rules."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 400, shingles.REGISTERS).astype(np.uint16)
+    sigs = np.where(rng.random((60, shingles.REGISTERS)) < rng.choice([0.05, 0.2, 0.6], 60)[:, None], rng.integers(0, 400, (60, shingles.REGISTERS)), base).astype("<u2")
+    n, place, label = rng.integers(80, 120, 60), rng.integers(0, 10, 60), rng.integers(0, 20, 60)
+    classes = spark.createDataFrame([(i, sigs[i].tobytes()) for i in range(60)], "rep long, sig binary")
+    large = spark.createDataFrame([(key, i, int(n[i]), int(place[i]), int(label[i]), 60) for key in (1, 2) for i in range(60)], "key long, rep long, n long, place int, label long, size long")
+    want = set()
+    for i in range(60):
+        for j in range(i + 1, 60):
+            room = min(n[i] - place[i], n[j] - place[j])
+            fits = min(n[i], n[j]) * 100 >= max(n[i], n[j]) * 80 and room * 180 >= (n[i] + n[j]) * 80
+            if label[i] != label[j] and fits and shingles.estimate(sigs[i : i + 1], sigs[j : j + 1])[0] >= 0.6:
+                want.add((i, j))
+    for unit in (512, 7, 1):
+        neardup.UNIT, was = unit, neardup.UNIT
+        try:
+            got = [(r.a, r.b) for r in neardup._units(large, classes, 80, 100, 0.6).collect()]
+        finally:
+            neardup.UNIT = was
+        assert want and sorted(got) == sorted(want)
+
+
+def test_a_passage_that_very_many_share(spark):
+    """Documents that share a passage and little else, some of them copied with a change: only those meet."""
+    rnd = random.Random(2)
+    passage = " ".join(f"p{k}" for k in range(70))
+    texts = [f"{passage} {' '.join(f'w{rnd.randrange(10**6)}' for _ in range(40))}" for _ in range(3000)]
+    texts += [t + " end" for t in texts[:50]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.op7(df).collect()}
+    assert got == {i: i if i < 3000 else i - 3000 for i in range(3050)}
+
+
 def test_registers_and_bands():
     rng = np.random.default_rng(0)
     for n in (7, 30, 300):

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import json
-import os
 import re
-import tempfile
 from dataclasses import asdict
 
 from pyspark.sql import types as T
 
 from millrace.functions.declared import Column
 from millrace.outcomes import Outcome, ValidationError
+from millrace.sources.files import joined
+from millrace.sources.ledger import Ledger
 
 _PART = re.compile(r"[A-Za-z0-9_-]+")
 DEFAULTS = ("default", "public")
@@ -31,24 +30,15 @@ def qualified(name: str) -> tuple[str, str, str]:
     return (*DEFAULTS[: 3 - len(found)], *found)
 
 
-def write_atomic(path: str, data: str) -> None:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    handle, temp = tempfile.mkstemp(dir=os.path.dirname(path))
-    with os.fdopen(handle, "w") as f:
-        f.write(data)
-    os.replace(temp, path)
-
-
 class Catalog:
+    """Every read sees the newest state and every change is made to it, whichever engine made it."""
+
     def __init__(self, root: str):
-        self.root, self.path = root, os.path.join(root, "catalog.json")
-        self.held: dict = {"databases": {}}
-        if os.path.exists(self.path):
-            with open(self.path) as f:
-                self.held = json.load(f)
+        self.root, self.ledger = root, Ledger(joined(root, "_catalog"), {"databases": {}})
 
-    def _save(self) -> None:
-        write_atomic(self.path, json.dumps(self.held, indent=1, sort_keys=True))
+    @property
+    def held(self) -> dict:
+        return self.ledger.read()
 
     def _name(self, text: str, what: str) -> str:
         found = parts(text)
@@ -63,55 +53,107 @@ class Catalog:
 
     def create_database(self, name: str, skip: bool = False) -> Outcome:
         name = self._name(name, "DATABASE")
-        if name in self.held["databases"]:
-            return self._present("DATABASE", name, skip)
-        self.held["databases"][name] = {"schemas": {}}
-        self._save()
-        return Outcome("SUCCESS", "DATABASE_CREATED", f"database {name} created")
-
-    def _schemas(self, database: str) -> dict:
-        if database not in self.held["databases"]:
+
+        def change(state: dict) -> Outcome:
+            if name in state["databases"]:
+                return self._present("DATABASE", name, skip)
+            state["databases"][name] = {"schemas": {}}
+            return Outcome("SUCCESS", "DATABASE_CREATED", f"database {name} created")
+
+        return self.ledger.update(change)
+
+    @staticmethod
+    def _schemas(state: dict, database: str) -> dict:
+        if database not in state["databases"]:
             raise ValidationError("DATABASE_NOT_FOUND", f"database {database} not found")
-        return self.held["databases"][database]["schemas"]
+        return state["databases"][database]["schemas"]
 
-    def _tables(self, database: str, schema: str) -> dict:
-        schemas = self._schemas(database)
+    @classmethod
+    def _tables(cls, state: dict, database: str, schema: str) -> dict:
+        schemas = cls._schemas(state, database)
         if schema not in schemas:
             raise ValidationError("SCHEMA_NOT_FOUND", f"schema {database}.{schema} not found")
         return schemas[schema]["tables"]
 
-    def create_schema(self, name: str, skip: bool = False) -> Outcome:
+    def _two(self, name: str) -> tuple[str, str]:
         found = parts(name)
         if len(found) != 2:
             raise ValidationError("INVALID_SCHEMA_NAMESPACE", f"{name!r}: database.schema is required")
-        schemas = self._schemas(found[0])
-        schema = self._name(found[1], "SCHEMA")
-        if schema in schemas:
-            return self._present("SCHEMA", ".".join(found), skip)
-        schemas[schema] = {"tables": {}}
-        self._save()
-        return Outcome("SUCCESS", "SCHEMA_CREATED", f"schema {'.'.join(found)} created")
+        return found[0], self._name(found[1], "SCHEMA")
+
+    def _three(self, name: str) -> tuple[str, str, str]:
+        if len(parts(name)) != 3:
+            raise ValidationError("INVALID_TABLE_NAMESPACE", f"{name!r}: database.schema.table is required")
+        return qualified(name)
+
+    def create_schema(self, name: str, skip: bool = False) -> Outcome:
+        database, schema = self._two(name)
+
+        def change(state: dict) -> Outcome:
+            schemas = self._schemas(state, database)
+            if schema in schemas:
+                return self._present("SCHEMA", f"{database}.{schema}", skip)
+            schemas[schema] = {"tables": {}}
+            return Outcome("SUCCESS", "SCHEMA_CREATED", f"schema {database}.{schema} created")
+
+        return self.ledger.update(change)
 
     def create_table(self, name: str, columns: list[Column], skip: bool = False) -> Outcome:
         if not columns or len({c.name.lower() for c in columns}) < len(columns):
             raise ValidationError("INVALID_CONSTRAINT_CONTRACT", "columns must be named, each once")
         for c in columns:
             c.field()
-        found = parts(name)
-        if len(found) != 3:
-            raise ValidationError("INVALID_TABLE_NAMESPACE", f"{name!r}: database.schema.table is required")
-        database, schema, table = qualified(name)
-        tables = self._tables(database, schema)
-        if table in tables:
-            return self._present("TABLE", ".".join(found), skip)
-        tables[table] = {"columns": [asdict(c) for c in columns], "engine": "parquet-log"}
-        self._save()
-        return Outcome("SUCCESS", "TABLE_CREATED", f"table {'.'.join(found)} created")
+        database, schema, table = self._three(name)
+
+        def change(state: dict) -> Outcome:
+            tables = self._tables(state, database, schema)
+            if table in tables:
+                return self._present("TABLE", f"{database}.{schema}.{table}", skip)
+            tables[table] = {"columns": [asdict(c) for c in columns], "engine": "parquet-log"}
+            return Outcome("SUCCESS", "TABLE_CREATED", f"table {database}.{schema}.{table} created")
+
+        return self.ledger.update(change)
+
+    def drop_table(self, name: str, skip: bool = False) -> Outcome:
+        database, schema, table = self._three(name)
+        known = f"{database}.{schema}.{table}"
+
+        def change(state: dict) -> Outcome:
+            try:
+                del self._tables(state, database, schema)[table]
+            except (KeyError, ValidationError):
+                if skip:
+                    return Outcome("SUCCESS", "TABLE_NOT_FOUND_SKIPPED", f"no table {known}")
+                raise ValidationError("VALIDATION_TABLE_NOT_FOUND", f"table not found: {known}") from None
+            return Outcome("SUCCESS", "TABLE_DROPPED", f"table {known} dropped")
+
+        return self.ledger.update(change)
+
+    def drop_schema(self, name: str, skip: bool = False) -> Outcome:
+        database, schema = self._two(name)
+
+        def change(state: dict) -> Outcome:
+            try:
+                tables = self._tables(state, database, schema)
+            except ValidationError:
+                if skip:
+                    return Outcome("SUCCESS", "SCHEMA_NOT_FOUND_SKIPPED", f"no schema {database}.{schema}")
+                raise
+            if tables:
+                raise ValidationError("SCHEMA_NOT_EMPTY", f"schema {database}.{schema} has tables {sorted(tables)}")
+            del self._schemas(state, database)[schema]
+            return Outcome("SUCCESS", "SCHEMA_DROPPED", f"schema {database}.{schema} dropped")
+
+        return self.ledger.update(change)
+
+    def tables(self) -> list[str]:
+        """All tables' full names."""
+        return [f"{d}.{s}.{t}" for d, held in sorted(self.held["databases"].items()) for s, more in sorted(held["schemas"].items()) for t in sorted(more["tables"])]
 
     def columns(self, name: str) -> list[Column]:
         database, schema, table = qualified(name)
         try:
-            return [Column(**c) for c in self._tables(database, schema)[table]["columns"]]
+            return [Column(**c) for c in self._tables(self.held, database, schema)[table]["columns"]]
         except (KeyError, ValidationError):
             raise ValidationError("VALIDATION_TABLE_NOT_FOUND", f"table not found: {database}.{schema}.{table}") from None
 
@@ -120,4 +162,4 @@ class Catalog:
 
     def location(self, name: str) -> str:
         database, schema, table = qualified(name)
-        return os.path.join(self.root, "databases", database, "schemas", schema, "tables", table)
+        return joined(self.root, "databases", database, "schemas", schema, "tables", table)

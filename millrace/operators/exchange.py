@@ -24,6 +24,7 @@ def _bad(message: str) -> ValidationError:
 
 def parse(text: str) -> Spec:
     """`single`, `broadcast`, `round_robin`, {"Hash": {"keys": [...]}} or {"Range": {"column": c, "bounds": [...]}}."""
+    # The names of partitionings and of their keys
     plain = text.strip().strip('"').lower()
     if plain in ("", "single", "singlepartition", "single_partition"):
         return Spec("single")
@@ -56,10 +57,8 @@ def apply(df: DataFrame, spec: Spec | str, n: int = 4) -> DataFrame:
         return df.repartition(n, *spec.keys)
     if spec.kind == "round_robin":
         return df.repartition(n)
-    if spec.kind == "single":
-        return df.coalesce(1)
-    if spec.kind == "broadcast":
-        return df  # a join's small side is chosen by its size at run time
+    if spec.kind in ("single", "broadcast"):  # both route every row to one partition; what makes the rows keeps its own
+        return df.repartition(1)
     if not spec.bounds:
         return df.repartitionByRange(n, *[F.col(k).asc_nulls_last() for k in spec.keys])
     return df.withColumn("__at", range_number(spec)).repartitionById(len(spec.bounds) + 1, "__at").drop("__at")

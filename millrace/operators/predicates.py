@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 from datetime import date, datetime
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ OPS = ("=", "!=", "<", "<=", ">", ">=")
 def _sql(value: object) -> str:
     if isinstance(value, bool):
         return "TRUE" if value else "FALSE"
+    if isinstance(value, Decimal):
+        return f"{value:f}"
     return str(value) if isinstance(value, (int, float)) else "'" + str(value).replace("'", "''") + "'"
 
 
@@ -24,6 +27,20 @@ def _bad(message: str) -> ValidationError:
     return ValidationError("VALIDATION_UNSUPPORTED_PREDICATE", message)
 
 
+def _tagged(value: object) -> object:
+    for kind, name in ((Decimal, "decimal"), (datetime, "timestamp"), (date, "date")):
+        if isinstance(value, kind):
+            return {name: str(value)}
+    return value
+
+
+def _untagged(value: object) -> object:
+    if not isinstance(value, dict):
+        return value
+    name, text = next(iter(value.items()))
+    return {"decimal": Decimal, "timestamp": datetime.fromisoformat, "date": date.fromisoformat}[name](text)
+
+
 class Predicate:
     def column_expression(self) -> Column:
         raise NotImplementedError
@@ -38,7 +55,8 @@ class Predicate:
         return And(tuple(x for p in (self, other) for x in (p.parts if isinstance(p, And) else (p,))))
 
     def to_json(self) -> dict:
-        return {"kind": type(self).__name__, **asdict(self)}
+        """Plain JSON; literals that JSON lacks are tagged."""
+        return {"kind": type(self).__name__, **{k: [_tagged(x) for x in v] if isinstance(v, tuple) else _tagged(v) for k, v in asdict(self).items()}}
 
 
 @dataclass(frozen=True)
@@ -80,8 +98,8 @@ class In(Predicate):
     values: tuple
 
     def __post_init__(self):
-        if not self.values or len({type(v) for v in self.values}) > 1 or type(self.values[0]) not in (int, str, bool):
-            raise _bad(f"{self.column} IN needs integers, strings or booleans of one kind")
+        if not self.values or len({type(v) for v in self.values}) > 1 or type(self.values[0]) not in (int, str, bool, Decimal, date, datetime):
+            raise _bad(f"{self.column} IN needs literals of one kind")
 
     def column_expression(self) -> Column:
         return F.col(self.column).isin(*self.values)
@@ -137,8 +155,7 @@ def from_json(held: dict) -> Predicate:
     kind = held.pop("kind")
     if kind == "And":
         return And(tuple(map(from_json, held["parts"])))
-    if "values" in held:
-        held["values"] = tuple(held["values"])
+    held = {k: tuple(map(_untagged, v)) if isinstance(v, (list, tuple)) else _untagged(v) for k, v in held.items()}
     return {"Compare": Compare, "Between": Between, "In": In, "IsNull": IsNull, "IsNotNull": IsNotNull}[kind](**held)
 
 
@@ -156,6 +173,8 @@ def typed(p: Predicate, schema: T.StructType) -> Predicate:
             return date.fromisoformat(v.strip()[:10])
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) and isinstance(v, str):
             return datetime.fromisoformat(v.strip())
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) and type(v) is date:
+            return datetime(v.year, v.month, v.day)
         if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             fine = isinstance(v, (date, datetime))
         elif isinstance(kind, T.BooleanType):
@@ -163,7 +182,7 @@ def typed(p: Predicate, schema: T.StructType) -> Predicate:
         elif isinstance(kind, T.StringType):
             fine = isinstance(v, str)
         elif isinstance(kind, T.NumericType):
-            fine = isinstance(v, (int, float)) and not isinstance(v, bool)
+            fine = isinstance(v, (int, float, Decimal)) and not isinstance(v, bool)
         else:
             fine = True
         if not fine:
@@ -176,8 +195,7 @@ def typed(p: Predicate, schema: T.StructType) -> Predicate:
         if isinstance(p, Between):
             return Between(p.column, fit(p.low), fit(p.high), p.negated)
         if isinstance(p, In):
-            for v in p.values:
-                fit(v)
+            return In(p.column, tuple(map(fit, p.values)))
     except ValueError as error:
         raise _bad(f"{p.column}: {error}") from None
     return p

@@ -29,9 +29,12 @@ def ingest(engine: Engine, table: str, batches: Iterable[pa.RecordBatch]) -> int
 
 
 def stream_into(engine: Engine, table: str, stream: DataFrame, checkpoint: str):  # noqa: ANN201
-    """Start a stream that commits each micro-batch to the table, once the batches so far are in."""
+    """Start a stream that commits each micro-batch to the table, once the batches so far are in.
+
+    A batch's commit holds the stream's checkpoint and the batch's number, so a replayed batch is not committed twice.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
-        engine.append(table, batch)
+        engine.append(table, batch, token=[checkpoint, number])
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -34,3 +34,16 @@ def measured(spark: SparkSession, group: str) -> Iterator[Report]:
                 if stage:
                     out.stages.append({"stage": s, "name": stage.name, "tasks": stage.numTasks, "failed": stage.numFailedTasks})
         context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def dashboard(spark: SparkSession) -> dict:
+    """Executors, their memory, and the jobs and stages that run now."""
+    context = spark.sparkContext
+    tracker = context.statusTracker()
+    memory = context._jsc.sc().getExecutorMemoryStatus()
+    stages = []
+    for s in tracker.getActiveStageIds():
+        info = tracker.getStageInfo(s)
+        if info:
+            stages.append({"stage": s, "name": info.name, "tasks": info.numTasks, "done": info.numCompletedTasks, "failed": info.numFailedTasks})
+    return {"application": context.applicationId, "cores": context.defaultParallelism, "executors": memory.size(), "active_jobs": list(tracker.getActiveJobsIds()), "active_stages": stages}

@@ -47,9 +47,50 @@ def test_license_sql(spark):
     assert df.columns == want.columns and sorted(map(tuple, df.collect())) == sorted(want.fetchall())
 
 
-def test_every_rule_has_a_trigger():
-    for _, _, ids in licenses.RULES:
-        assert any(re.search(licenses.TRIGGER, licenses.SENTENCES[i]) for i in ids)
+def test_every_wording_has_a_trigger():
+    """A text that a rule is found in has one of the trigger's words: of the rule's sentences, one has them in all wordings."""
+    book = licenses.BOOK
+    lead = {s: "available " + s if s.startswith("under ") else s for s in book.sentences}
+    sure = {k for k in book.sentences.values() if all(re.search(licenses.TRIGGER, lead[s]) for s, x in book.sentences.items() if x == k)}
+    assert [r for r in book.rules if not sure & {*r[2]}] == []
+
+
+NOTICED = {
+    "// SPDX-License-Identifier: Apache-2.0\nint x;": ("Apache-2.0", "spdx"), "# SPDX-License-Identifier:GPL-2.0-or-later": ("GPL-2.0-or-later", "spdx"), "/* SPDX-License-Identifier: BSD-3-Clause */": ("BSD-3-Clause", "spdx"),
+    "Read on. This project is licensed under the terms of the MIT licence. Enjoy.": ("MIT", "notice"), "Dieses Projekt steht unter der Apache License 2.0.": ("Apache-2.0", "notice"), "Ce projet est sous licence GPLv3.": ("GPL-3.0", "notice"),
+    "Este proyecto está bajo la CC BY-SA 4.0.": ("CC-BY-SA-4.0", "notice"), "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": ("CC-BY-NC-4.0", "notice"), "Available under Apache 2.0.": ("Apache-2.0", "notice"), "Dieses Projekt steht unter der GPLv3.": ("GPL-3.0", "notice"), "Available under the GNU AGPL v3.": ("AGPL-3.0", "notice"),
+    "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.": ("GPL-2.0-or-later", "grant"),
+    "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": ("LGPL-3.0-or-later", "grant"),
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:": ("Zlib", "text"),
+}
+
+
+def test_wordings_written_apart_from_the_book(spark):
+    held = [*NOTICED, "MIT", "a mit", "no license here, only permission", "x " * 100_000 + "\nReleased under the MIT License.\n" + "y. " * 50_000]
+    got = {}
+    for r in licenses.scan(frame(spark, held + [held[0]])).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.rule))
+    want = {i: [x] for i, x in enumerate(NOTICED.values())} | {len(held) - 1: [("MIT", "notice")], len(held): [("Apache-2.0", "spdx")]}
+    assert got == want
+
+
+COMMON = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.exists(f"{COMMON}/GPL-3"), reason="no licence texts on this machine")
+def test_full_texts(spark):
+    """Real licence texts: those the book knows, and those it learns by `with_text`, wrapped otherwise and with a sentence changed."""
+    text = {n: open(f"{COMMON}/{n}").read() for n in ("BSD", "Apache-2.0", "MPL-2.0", "GPL-3")}  # noqa: SIM115
+    assert [(r.license, r.rule) for r in licenses.scan(frame(spark, [text["BSD"]])).collect() if r.rule == "text"] == [("BSD-3-Clause", "text")]
+    book = licenses.BOOK
+    for n in ("Apache-2.0", "MPL-2.0", "GPL-3"):
+        book = book.with_text(n, text[n])
+    assert all(len(ids) > 30 for name, rule, ids in book.rules[-3:])
+    wrapped = {n: " ".join(t.split()) for n, t in text.items()}
+    changed = wrapped["MPL-2.0"].replace("Contributor", "Giver", 1)
+    held = ["prose before. " + wrapped["Apache-2.0"] + " prose after", text["MPL-2.0"], text["GPL-3"], changed, wrapped["Apache-2.0"][:5000]]
+    got = {(r.doc_id, r.license) for r in licenses.scan(frame(spark, held), book).collect() if r.rule == "text" and r.sentences > 30}
+    assert got == {(0, "Apache-2.0"), (1, "MPL-2.0"), (2, "GPL-3")}
 
 
 # personal data

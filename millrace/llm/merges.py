@@ -271,3 +271,110 @@ class UnitStore:
         last = np.cumsum([len(x) for x in units])
         upto = np.append(0, ends)[last]
         return flat, np.diff(np.append(0, upto))
+
+
+class SpanStore:
+    """``UnitStore`` for units that are spans of bytes: met ones are found by 128 bits of hash, many at a time in numpy.
+
+    Spans over WIDEST bytes are not remembered, and no span is decoded twice while it is.
+    """
+
+    WIDEST = 64
+
+    def __init__(self, encode, bits: int = 22):  # noqa: ANN001
+        self.encode, self.limit, self.shift, self.mask = encode, 1 << (bits - 1), np.uint64(64 - bits), (1 << bits) - 1
+        rng = np.random.default_rng(17)
+        self.signs = rng.integers(1, 2**63, (2, 256), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+        odd = rng.integers(1, 2**63, 2, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+        self.powers = np.cumprod(np.concatenate([np.ones((2, 1), np.uint64), np.repeat(odd[:, None], self.WIDEST, 1)], 1), axis=1, dtype=np.uint64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots, self.n, self.used = np.full(self.mask + 1, -1, np.int32), 0, 0
+        self.keys = np.zeros((2, 1 << 14), np.uint64)
+        self.offset, self.length, self.flat = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 16, np.int32)
+
+    def hashes(self, data: np.ndarray, heads: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Two keys of each span."""
+        first = np.cumsum(lengths) - lengths
+        place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+        held = data[np.repeat(heads, lengths) + place]
+        out = np.empty((2, len(heads)), np.uint64)
+        for k in range(2):
+            x = np.add.reduceat(self.signs[k][held] * self.powers[k][place], first)
+            x = (x ^ (x >> np.uint64(31)) ^ lengths.astype(np.uint64)) * _MIX
+            out[k] = x ^ (x >> np.uint64(29))
+        return out
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each unit met before; -1 for others."""
+        out = np.full(keys.shape[1], -1, np.int64)
+        todo, slot = np.arange(keys.shape[1]), (keys[0] >> self.shift).astype(np.int64)
+        while len(todo):
+            at = self.slots[slot]
+            full = at >= 0
+            hit = full & (self.keys[0][at] == keys[0][todo]) & (self.keys[1][at] == keys[1][todo])
+            out[todo[hit]] = at[hit]
+            go = full & ~hit
+            todo, slot = todo[go], (slot[go] + 1) & self.mask
+        return out
+
+    def _add(self, keys: np.ndarray, units: list[str]) -> None:
+        flat, sizes = self.encode(units)
+        m, n = len(units), self.n
+        while n + m > len(self.offset):
+            self.keys = np.concatenate([self.keys, np.zeros_like(self.keys)], 1)
+            self.offset, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offset, self.length))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.keys[:, n : n + m] = keys
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.length[n : n + m] = sizes
+        self.offset[n : n + m] = self.used + np.cumsum(sizes) - sizes
+        self.n, self.used = n + m, self.used + len(flat)
+        todo, slot = np.arange(n, n + m), (keys[0] >> self.shift).astype(np.int64)
+        while len(todo):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            first = free[np.unique(slot[free], return_index=True)[1]]
+            self.slots[slot[first]] = todo[first]
+            rest = np.ones(len(todo), bool)
+            rest[first] = False
+            todo, slot = todo[rest], (slot[rest] + 1) & self.mask
+
+    def ids(self, raw: bytes, heads: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all spans of `raw`, and each one's number of ids."""
+        if not len(heads):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        if self.n + len(heads) > self.limit:
+            self.clear()
+        short = lengths <= self.WIDEST
+        if not short.all() or len(heads) > self.limit:
+            sizes = np.zeros(len(heads), np.int64)
+            parts = []
+            for some in ([np.flatnonzero(~short)], np.array_split(np.flatnonzero(short), -(-len(heads) // self.limit))):
+                for at in some:
+                    if len(at):
+                        if not short[at[0]]:
+                            got = self.encode([raw[a : a + n].decode() for a, n in zip(heads[at].tolist(), lengths[at].tolist(), strict=True)])
+                        else:
+                            got = self.ids(raw, heads[at], lengths[at])
+                        sizes[at] = got[1]
+                        parts.append((at, *got))
+            out, first = np.empty(int(sizes.sum()), np.int32), np.cumsum(sizes) - sizes
+            for at, flat, size in parts:
+                out[np.repeat(first[at] - (np.cumsum(size) - size), size) + np.arange(len(flat))] = flat
+            return out, sizes
+        keys = self.hashes(np.frombuffer(raw, np.uint8), heads, lengths)
+        at = self.find(keys)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            _, first, back = np.unique(keys[0][new], return_index=True, return_inverse=True)
+            if (keys[1][new] != keys[1][new[first]][back]).any():
+                raise ValueError("two units share half a key")  # one chance in some 10**7 a table
+            one = new[first]
+            n = self.n
+            self._add(keys[:, one], [raw[a : a + k].decode() for a, k in zip(heads[one].tolist(), lengths[one].tolist(), strict=True)])
+            at[new] = n + back
+        size = self.length[at].astype(np.int64)
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.offset[at] - (ends - size), size) + np.arange(ends[-1])], size

@@ -15,7 +15,7 @@ import re
 
 import numpy as np
 
-from millrace.llm.merges import PairTable, UnitStore, merge_words
+from millrace.llm.merges import PairTable, SpanStore, merge_words
 
 _LETTERS = "a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĳĵķĸĺļľŀłńņňŋōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž"
 _LATIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ž]").fullmatch
@@ -25,7 +25,8 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS
 #: The normaliser and splitter this fast way stands for.
 _NORMAL = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
 _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_SEPARATORS = re.compile("[\x1c-\x1f]").search
+#: Bytes that part units: all ASCII white space of the normaliser.
+_SPACE = np.array([b in (9, 10, 11, 12, 13, 32) for b in range(256)])
 _loaded: dict[bytes, WordModel] = {}
 
 
@@ -65,7 +66,7 @@ class WordModel:
         self.checked = False
         heads = {t[0] for t in self.specials}
         self.way = np.array([3 if not (c == 32 or _LATIN(chr(c))) else 2 if chr(c) in heads else 1 if c == 39 else 0 for c in range(0x180)] + [3], np.uint8)
-        self.store = UnitStore(self.encode_units)
+        self.store = SpanStore(self.encode_units)
 
     def by_library(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch(units, add_special_tokens=False)]
@@ -135,16 +136,18 @@ class WordModel:
         upto = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum([len(x) for x in parts]))]
         return flat, np.diff(upto)
 
-    def units(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if any(t in text for t in self.specials) or _SEPARATORS(text):  # signs that str.split takes for white space
-            return re.split("[ \n\t\r]+", text.strip(" \n\t\r")) if text.strip(" \n\t\r") else []
-        return text.split()
-
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and each text's number of ids, with `end` after each text if given."""
-        flat, sizes = self.store.ids([self.units(t) for t in texts])
+        each = [t.encode() if t else b"" for t in texts]
+        raw = b"\n".join([*each, b""])
+        inside = ~_SPACE[np.frombuffer(raw, np.uint8)]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if len(inside) and inside[0]:
+            edge = np.append(0, edge)
+        heads, stops = edge[::2], edge[1::2]
+        flat, wide = self.store.ids(raw, heads, stops - heads)
+        last = np.searchsorted(heads, np.cumsum([len(e) + 1 for e in each]))
+        sizes = np.diff(np.append(0, np.append(0, np.cumsum(wide))[last]))
         if end is None:
             return flat, sizes
         total = sizes + 1

@@ -116,6 +116,19 @@ def test_words_equal_the_library(corpus):
     assert model.fast  # it also held against the library at run time
 
 
+def test_spans_are_found_again(monkeypatch):
+    """Units met before, long ones, a store that is emptied often, and white space of all kinds equal the library's ids."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        data = f.read()
+    model = words.WordModel(data)
+    model.store = merges.SpanStore(model.encode_units, bits=6)
+    texts = ["a b a\u00a0b c\x85d \u2003e a\x0bb\x0cc", "x" * 63 + " " + "x" * 64 + " " + "x" * 65 + " <|endoftext|> a<|startoftext|>b", "\x1c a \x1f", None, "", " ", "é é\u0301 É", *[" ".join(rnd.choice("abcdefgh") * rnd.randrange(1, 4) for _ in range(rnd.randrange(90))) for _ in range(50)]]
+    for _ in range(3):
+        for part in (texts, texts[:3], texts[5:]):
+            for text, got in zip(part, split(*model.encode(part)), strict=True):
+                assert got == model.library.encode(text or "", add_special_tokens=False).ids, text
+
+
 def test_crc_join():
     data = [bytes(rnd.randrange(256) for _ in range(rnd.randrange(50))) for _ in range(20)]
     assert store.crc_join([(zlib.crc32(d), len(d)) for d in data]) == zlib.crc32(b"".join(data))

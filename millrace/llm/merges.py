@@ -281,7 +281,7 @@ class SpanStore:
 
     WIDEST = 64
 
-    def __init__(self, encode, bits: int = 22):  # noqa: ANN001
+    def __init__(self, encode, bits: int = 20):  # noqa: ANN001
         self.encode, self.limit, self.shift, self.mask = encode, 1 << (bits - 1), np.uint64(64 - bits), (1 << bits) - 1
         rng = np.random.default_rng(17)
         self.signs = rng.integers(1, 2**63, (2, 256), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -295,15 +295,17 @@ class SpanStore:
         self.offset, self.length, self.flat = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 16, np.int32)
 
     def hashes(self, data: np.ndarray, heads: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Two keys of each span."""
-        first = np.cumsum(lengths) - lengths
-        place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-        held = data[np.repeat(heads, lengths) + place]
+        """Two keys of each span, made from some spans at a time to bound memory."""
         out = np.empty((2, len(heads)), np.uint64)
-        for k in range(2):
-            x = np.add.reduceat(self.signs[k][held] * self.powers[k][place], first)
-            x = (x ^ (x >> np.uint64(31)) ^ lengths.astype(np.uint64)) * _MIX
-            out[k] = x ^ (x >> np.uint64(29))
+        for i in range(0, len(heads), 1 << 15):
+            n = lengths[i : i + (1 << 15)]
+            first = np.cumsum(n) - n
+            place = np.arange(int(n.sum())) - np.repeat(first, n)
+            held = data[np.repeat(heads[i : i + (1 << 15)], n) + place]
+            for k in range(2):
+                x = np.add.reduceat(self.signs[k][held] * self.powers[k][place], first)
+                x = (x ^ (x >> np.uint64(31)) ^ n.astype(np.uint64)) * _MIX
+                out[k, i : i + (1 << 15)] = x ^ (x >> np.uint64(29))
         return out
 
     def find(self, keys: np.ndarray) -> np.ndarray:

@@ -37,30 +37,30 @@ SHARE = 0.8
 MISS = -2
 BROADCAST_SEEDS = 1_000_000
 SALTS = 8
+BLOCK = 64
 
 
 def tokens(text: Column) -> Column:
+    # a function of a lambda is evaluated before generated code begins, so once a text and not once for each row that a join or generator makes of it
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def seeds(words: Column, shorts: list[int]) -> Column:
-    """Hashes of all masks at all places, mask by mask; null where a mask reaches past the end. `shorts`: lengths of whole short items."""
-    masks = [(k, at, SPAN) for k, at in enumerate(MASKS)] + [(len(MASKS) + m, tuple(range(m)), m) for m in shorts]
-    places = F.sequence(F.lit(0), F.size(words) - 1)
-
-    def masked(k: int, at: tuple[int, ...], span: int):  # noqa: ANN202
-        return lambda i: F.when(i + span <= F.size(words), F.xxhash64(F.lit(k), *[F.get(words, i + j) for j in at]))
-
-    return F.when(F.size(words) > 0, F.concat(*[F.transform(places, masked(*m)) for m in masks]))
-
-
 def _seeded(df: DataFrame, shorts: list[int], *keep: str) -> DataFrame:
-    """Rows of (keep..., n, mask, at, seed), a row for each seed; `at` is the token it starts at."""
-    # the outer form: for the inner one a filter on the array's size is derived and pushed down, with all that makes it
-    df = df.withColumn("words", tokens(F.col("text"))).withColumn("seeds", seeds(F.col("words"), shorts)).withColumn("n", F.size("words"))
-    numbers = F.array(*[F.lit(k) for k in [*range(len(MASKS)), *(len(MASKS) + m for m in shorts)]])
-    mask = F.get(numbers, F.floor(F.col("p") / F.col("n")).cast("int"))
-    return df.select(*keep, "n", F.posexplode_outer("seeds").alias("p", "seed")).select(*keep, "n", mask.alias("mask"), (F.col("p") % F.col("n")).alias("at"), "seed")
+    """Rows of (keep..., n, mask, at, seed), a row for each token and mask; `at` is the token it starts at, a mask that reaches past the end has a null seed.
+
+    `shorts` are the lengths of whole short items, which have masks of their own. A row for each BLOCK tokens, then
+    one for each token come first, so that seeds are made by generated code and no row holds a long text's tokens.
+    """
+    masks = [(k, at, SPAN) for k, at in enumerate(MASKS)] + [(len(MASKS) + m, tuple(range(m)), m) for m in shorts]
+    df = df.withColumn("hashes", F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w))).withColumn("n", F.size("hashes"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("int")), lambda b: F.slice("hashes", b * BLOCK + 1, F.lit(BLOCK + SPAN - 1)))
+    # the outer forms: for the inner ones a filter on the array's size is derived and pushed down, with all that makes it
+    df = df.select(*keep, "n", F.posexplode_outer(F.when(F.col("n") > 0, blocks)).alias("block", "part"))
+    df = df.select(*keep, "n", "block", "part", F.explode_outer(F.sequence(F.lit(0), F.least(F.col("n") - F.col("block") * BLOCK, F.lit(BLOCK)) - 1)).alias("i"))
+    at = F.col("block") * BLOCK + F.col("i")
+    each = [F.when(at + span <= F.col("n"), F.xxhash64(F.lit(k), *[F.get("part", F.col("i") + j) for j in places])) for k, places, span in masks]
+    df = df.select(*keep, "n", at.alias("at"), F.posexplode_outer(F.array(*each)).alias("k", "seed"))
+    return df.select(*keep, "n", F.get(F.array(*[F.lit(k) for k, _, _ in masks]), F.col("k")).alias("mask"), "at", "seed")
 
 
 def placements(texts: DataFrame, items: DataFrame, broadcast_seeds: int) -> DataFrame:

@@ -36,8 +36,8 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A text without this can't hold the kind.
-NEEDS = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
+#: A text without this can't hold a base span of the kind.
+BASE_NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 CANDIDATES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
@@ -47,6 +47,8 @@ CANDIDATES = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "name": r"(?<!\p{L})(?:(?:Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Dra)\.|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señora?)\x20\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++)?+",
 }
+#: A text without this can't hold a candidate of the kind: it stands in every match of its pattern (which no sign does for email and phone).
+NEEDS = {"ip": ".", "ssn": "-"}
 STRICT = {
     "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$",
     "ip": r"^(?!0|127\.|255\.)[0-9.]+$",
@@ -207,7 +209,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     """`docs` (with a text column) and `base` and `tried`: base spans, and candidates with their votes."""
     df = docs.withColumn("text", F.coalesce("text", F.lit("")))
     for kind, pattern in BASE.items():
-        df = matched(df, f"_{kind}", pattern, NEEDS.get(kind))
+        df = matched(df, f"_{kind}", pattern, BASE_NEEDS.get(kind))
         df = df.withColumn(f"_{kind}", F.filter(F.col(f"_{kind}"), _with(lambda s, k: passes(k, s["value"]), kind)))
     kinds = [F.transform(F.col(f"_{k}"), _with(lambda s, i: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end")), i)) for i, k in enumerate(BASE)]
     df = df.withColumn("base", F.sort_array(F.concat(*kinds))).drop(*[f"_{k}" for k in BASE])

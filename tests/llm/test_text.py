@@ -142,6 +142,19 @@ def test_added_spans(spark):
     assert got[0] == "phone:0:17,card:18:34" and got[3].startswith("secret:11:") and got[25] == ""
 
 
+def test_candidates_need_no_sign_of_the_base_pattern(spark):
+    """A mail without @ and a phone without + are tried and found whatever else the text holds."""
+    one = [f"call (555) 123-{i:04d} today" for i in range(20)] + [f"write to joe{i}[at]host[dot]org now" for i in range(20)]
+    kinds = lambda t: {(pii.KINDS.index("phone"), 5, 19)} if "call" in t else {(pii.KINDS.index("email"), 9, t.index(" now"))}
+    for held in (one, [t + " @ +" for t in one]):
+        tried = pii.scanned(frame(spark, held)).collect()
+        assert all({(c.kind, c.start, c.end) for c in r.tried} == kinds(held[r.doc_id]) for r in tried)
+    rows = [f"phone: +1-555-123-{i:04d}" for i in range(40)] + [f"phone: (555) 123-{i:04d}" for i in range(40)]
+    want, _ = plain_spans(rows)
+    got = {r.doc_id: r.spans for r in pii.op4(frame(spark, rows)).collect()}
+    assert all(got[i] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans) for i, spans in enumerate(want))
+
+
 def test_reliabilities():
     counts = [(0, (1, 1, 1, -1, -1), 80), (0, (0, 0, 0, -1, 0), 90), (0, (1, 1, 0, -1, -1), 10), (0, (0, 1, 0, -1, -1), 10)]
     post = pii.reliabilities(counts)

@@ -81,14 +81,15 @@ GAZETTEER = {
     "ssn": r"^(?!000|666|73[4-9]|74)([0-6][0-9]{2}|7[0-6][0-9]|77[0-2])-",
     "name": rf" ({'|'.join(NAMES)})\b",
 }
-# Words before a span that speak for it and against it, in the same four languages
+# Words before a span that speak for it and against it, in the same four languages; what may go on at length is tried from
+# its run's first character only, so that a gap of any length takes linear time
 BEFORE = {
-    "email": r"(?i)(e-?mail|mail|contact|write|reach|kontakt|schreib|courriel|correo|contacto|escrib\w*)\W*$",
+    "email": r"(?i)(e-?mail|mail|contact|write|reach|kontakt|schreib|courriel|correo|contacto|(?<!\w)(?>\w*?escrib)\w*+)\W*$",
     "ip": r"(?i)(ip|addr(ess)?|host|from|client|server|adresse|rechner|serveur|direcci.n|servidor)\W*$",
     "card": r"(?i)(card|visa|mastercard|amex|credit|debit|payment|number|no|karte|kartennummer|carte|paiement|tarjeta|pago|n.mero)\W*$",
-    "phone": r"(?i)(phone|tel|call|mobile|cell|fax|contact|ring|telefon|handy|mobil|anruf|t.l.phone|portable|appel\w*|tel.fono|m.vil|llam\w*)\W*$",
+    "phone": r"(?i)(phone|tel|call|mobile|cell|fax|contact|ring|telefon|handy|mobil|anruf|t.l.phone|portable|tel.fono|m.vil|(?<!\w)(?>\w*?(?:appel|llam))\w*+)\W*$",
     "secret": r"(?i)(token|secret|passw(or)?d|pwd|api|key|auth|bearer|credential|passwort|kennwort|schl.ssel|mot de passe|cl.|contrase.a|clave)\W*$",
-    "ssn": r"(?i)(ssn|social|security|tax|number|no|sozial\w*|steuer\w*|nummer|s.curit.|seguridad|n.mero)\W*$",
+    "ssn": r"(?i)(ssn|social|security|tax|number|no|nummer|s.curit.|seguridad|n.mero|(?<!\w)(?>\w*?(?:sozial|steuer))\w*+)\W*$",
     "name": r"(?i)(dear|contact|by|from|attn|signed|patient|sincerely|with|to|liebe[r]?|geehrte[r]?|von|mit|cher|ch.re|par|avec|estimad[oa]|querid[oa]|por|con)\W*$",
 }
 AGAINST = {
@@ -96,7 +97,7 @@ AGAINST = {
     "ip": r"(?i)(version|release|section|chapter|v|abschnitt|kapitel|chapitre|cap.tulo)\W*$",
     "card": r"(?i)(isbn|order|invoice|id|serial|timestamp|ticket|bestellung|rechnung|commande|facture|pedido|factura)\W*$|[0-9][.,]$",
     "phone": r"(?i)(id|isbn|version|order|figure|page|pages|seite|bestellung|commande|p.gina|pedido)\W*$|[0-9][.,]$",
-    "secret": r"(?i)(commit|sha|sha1|sha256|md5|hash|digest|checksum|revision|blob|uuid)\W*$|https?://\S*$",
+    "secret": r"(?i)(commit|sha|sha1|sha256|md5|hash|digest|checksum|revision|blob|uuid)\W*$|(?<!\S)(?>\S*?https?://)\S*+$",
     "ssn": r"(?i)(part|model|order|item|version|artikel|art.culo)\W*$",
     "name": r"(?i)(street|avenue|university|institute|company|stra.e|universit.t|rue|universit.|calle|universidad)\W*$",
 }
@@ -154,7 +155,7 @@ def apart(df: DataFrame, name: str, kind: int) -> DataFrame:
 
 
 def matched(df: DataFrame, name: str, pattern: str, needs: str | None) -> DataFrame:
-    """Add `name`: the pattern's matches as (start, end, value, before), in code points from 0."""
+    """Add `name`: the pattern's matches as (start, end, value, before), in code points from 0; before is the whole gap since the last match."""
     none = F.array().cast("array<string>")
     found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
     df = df.withColumn("_m", F.when(F.contains("text", F.lit(needs)), found).otherwise(none) if needs else found)
@@ -163,7 +164,7 @@ def matched(df: DataFrame, name: str, pattern: str, needs: str | None) -> DataFr
     rows = F.transform(
         F.arrays_zip(F.col("_m").alias("m"), F.slice("_g", 1, F.size("_m")).alias("g"), F.col("_p").alias("p")),
         lambda x: F.struct(
-            (x["p"] + F.length(x["g"])).alias("start"), (x["p"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("value"), F.right(x["g"], F.lit(32)).alias("before"),
+            (x["p"] + F.length(x["g"])).alias("start"), (x["p"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("value"), x["g"].alias("before"),
         ),
     )
     empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string>>")

@@ -155,6 +155,26 @@ def test_candidates_need_no_sign_of_the_base_pattern(spark):
     assert all(got[i] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans) for i, spans in enumerate(want))
 
 
+def test_words_before_a_span_at_any_distance(spark):
+    """The whole gap since the last match counts, in linear time; decisions of the pipeline's stage follow."""
+    import time
+
+    import corpus_pipeline
+
+    key, far = "18945874088f67dc02ebee7da32856e8cab6c30f", "x.y:" * 20
+    held = [f"token {'.' * 60} {key}", f"see https://{far}{key}", f"see {far}{key}", f"Sozialversicherungsnummer{'vergabestelle' * 4}: 123-45-6789"]
+    tried = {r.doc_id: [(c.kind, *c.votes[3:]) for c in r.tried] for r in pii.scanned(frame(spark, held)).collect()}
+    secret, ssn = pii.KINDS.index("secret"), pii.KINDS.index("ssn")
+    assert tried == {0: [(secret, 1, -1)], 1: [(secret, -1, 0)], 2: [(secret, -1, -1)], 3: [(ssn, 1, -1)]}
+    rows = [f"ssn {'.' * 60} 812-45-67{i}" for i in range(10, 40)] + [f"part 912-45-67{i}" for i in range(10, 40)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.personal_data_stage(spark, frame(spark, rows), "").select("doc_id", "text").collect()}
+    assert got == {i: f"ssn {'.' * 60} <SSN>" if i < 30 else t for i, t in enumerate(rows)}
+    began = time.monotonic()
+    long = ["http://" * 60_000 + " " + key, "escrib" * 60_000 + "! a[at]b.org", "llam" * 90_000 + " é (555) 123-4567", "steuer" * 60_000 + "é x 123-45-6789", "no " * 100_000 + "." * 300_000 + "x 123-45-6789"]
+    assert len(pii.scanned(frame(spark, long)).select("doc_id", "tried").collect()) == len(long)
+    assert time.monotonic() - began < 60
+
+
 def test_reliabilities():
     counts = [(0, (1, 1, 1, -1, -1), 80), (0, (0, 0, 0, -1, 0), 90), (0, (1, 1, 0, -1, -1), 10), (0, (0, 1, 0, -1, -1), 10)]
     post = pii.reliabilities(counts)

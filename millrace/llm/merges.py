@@ -25,6 +25,8 @@ LONG = 512
 NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WIDTH = np.int64(1 << 21)
+#: Masks of the first k of eight bytes.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class PairTable:
@@ -276,17 +278,18 @@ class UnitStore:
 class SpanStore:
     """``UnitStore`` for units that are spans of bytes: met ones are found by 128 bits of hash, many at a time in numpy.
 
-    Spans over WIDEST bytes are not remembered, and no span is decoded twice while it is.
+    Spans over WIDEST bytes are not remembered, and no span is decoded twice while it is. The store is emptied when
+    the distinct new spans of a step no longer fit.
     """
 
     WIDEST = 64
+    #: Spans of a step: what it makes stays small.
+    STEP = 1 << 16
 
     def __init__(self, encode, bits: int = 20):  # noqa: ANN001
         self.encode, self.limit, self.shift, self.mask = encode, 1 << (bits - 1), np.uint64(64 - bits), (1 << bits) - 1
         rng = np.random.default_rng(17)
-        self.signs = rng.integers(1, 2**63, (2, 256), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-        odd = rng.integers(1, 2**63, 2, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-        self.powers = np.cumprod(np.concatenate([np.ones((2, 1), np.uint64), np.repeat(odd[:, None], self.WIDEST, 1)], 1), axis=1, dtype=np.uint64)
+        self.odd = rng.integers(1, 2**63, (2, 3), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
         self.clear()
 
     def clear(self) -> None:
@@ -294,19 +297,22 @@ class SpanStore:
         self.keys = np.zeros((2, 1 << 14), np.uint64)
         self.offset, self.length, self.flat = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 16, np.int32)
 
-    def hashes(self, data: np.ndarray, heads: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Two keys of each span, made from some spans at a time to bound memory."""
-        out = np.empty((2, len(heads)), np.uint64)
-        for i in range(0, len(heads), 1 << 15):
-            n = lengths[i : i + (1 << 15)]
-            first = np.cumsum(n) - n
-            place = np.arange(int(n.sum())) - np.repeat(first, n)
-            held = data[np.repeat(heads[i : i + (1 << 15)], n) + place]
-            for k in range(2):
-                x = np.add.reduceat(self.signs[k][held] * self.powers[k][place], first)
-                x = (x ^ (x >> np.uint64(31)) ^ n.astype(np.uint64)) * _MIX
-                out[k, i : i + (1 << 15)] = x ^ (x >> np.uint64(29))
-        return out
+    def hashes(self, eights: np.ndarray, heads: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Two keys of each span, mixed from its length and eight bytes at a time; `eights` holds those from each place on."""
+        out = lengths.astype(np.uint64) * self.odd[:, :1]
+        at, done = slice(None), 0
+        while True:
+            left = lengths[at] - done
+            x = eights[heads[at] + done] & _BYTES[np.minimum(left, 8)]
+            for k, turn in enumerate((32, 29)):
+                h = (out[k, at] ^ x) * self.odd[k, 1]
+                out[k, at] = h ^ (h >> np.uint64(turn))
+            more = np.flatnonzero(left > 8)
+            if not len(more):
+                break
+            at, done = more if done == 0 else at[more], done + 8
+        out *= self.odd[:, 2:]
+        return out ^ (out >> np.uint64(31))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each unit met before; -1 for others."""
@@ -343,40 +349,51 @@ class SpanStore:
             rest[first] = False
             todo, slot = todo[rest], (slot[rest] + 1) & self.mask
 
-    def ids(self, raw: bytes, heads: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all spans of `raw`, and each one's number of ids."""
-        if not len(heads):
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        if self.n + len(heads) > self.limit:
-            self.clear()
-        short = lengths <= self.WIDEST
-        if not short.all() or len(heads) > self.limit:
-            sizes = np.zeros(len(heads), np.int64)
-            parts = []
-            for some in ([np.flatnonzero(~short)], np.array_split(np.flatnonzero(short), -(-len(heads) // self.limit))):
-                for at in some:
-                    if len(at):
-                        if not short[at[0]]:
-                            got = self.encode([raw[a : a + n].decode() for a, n in zip(heads[at].tolist(), lengths[at].tolist(), strict=True)])
-                        else:
-                            got = self.ids(raw, heads[at], lengths[at])
-                        sizes[at] = got[1]
-                        parts.append((at, *got))
+    def _distinct(self, keys: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first of each unit among the spans `new`, and each span's place among those."""
+        _, first, back = np.unique(keys[0][new], return_index=True, return_inverse=True)
+        if (keys[1][new] != keys[1][new[first]][back]).any():
+            raise ValueError("two units share half a key")  # one chance in some 10**7 a table
+        return new[first], back
+
+    def _step(self, raw: bytes, eights: np.ndarray, heads: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        long = lengths > self.WIDEST
+        if long.any():
+            sizes, parts = np.zeros(len(heads), np.int64), []
+            for at in (np.flatnonzero(long), np.flatnonzero(~long)):
+                if len(at):
+                    got = self.encode(self._decoded(raw, heads[at], lengths[at])) if long[at[0]] else self._step(raw, eights, heads[at], lengths[at])
+                    sizes[at] = got[1]
+                    parts.append((at, *got))
             out, first = np.empty(int(sizes.sum()), np.int32), np.cumsum(sizes) - sizes
             for at, flat, size in parts:
                 out[np.repeat(first[at] - (np.cumsum(size) - size), size) + np.arange(len(flat))] = flat
             return out, sizes
-        keys = self.hashes(np.frombuffer(raw, np.uint8), heads, lengths)
+        keys = self.hashes(eights, heads, lengths)
         at = self.find(keys)
         new = np.flatnonzero(at < 0)
         if len(new):
-            _, first, back = np.unique(keys[0][new], return_index=True, return_inverse=True)
-            if (keys[1][new] != keys[1][new[first]][back]).any():
-                raise ValueError("two units share half a key")  # one chance in some 10**7 a table
-            one = new[first]
+            one, back = self._distinct(keys, new)
+            if self.n + len(one) > self.limit:
+                self.clear()
+                new = np.arange(len(heads))
+                one, back = self._distinct(keys, new)
             n = self.n
-            self._add(keys[:, one], [raw[a : a + k].decode() for a, k in zip(heads[one].tolist(), lengths[one].tolist(), strict=True)])
+            self._add(keys[:, one], self._decoded(raw, heads[one], lengths[one]))
             at[new] = n + back
         size = self.length[at].astype(np.int64)
         ends = np.cumsum(size)
         return self.flat[np.repeat(self.offset[at] - (ends - size), size) + np.arange(ends[-1])], size
+
+    @staticmethod
+    def _decoded(raw: bytes, heads: np.ndarray, lengths: np.ndarray) -> list[str]:
+        return [raw[a : a + n].decode() for a, n in zip(heads.tolist(), lengths.tolist(), strict=True)]
+
+    def ids(self, raw: bytes, heads: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all spans of `raw`, and each one's number of ids."""
+        if not len(heads):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        eights = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), strides=(1,))
+        step = min(self.STEP, self.limit)
+        parts = [self._step(raw, eights, heads[i : i + step], lengths[i : i + step]) for i in range(0, len(heads), step)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])

@@ -2,9 +2,10 @@
 
 The tokenizer file is read for its vocabulary, merges and added tokens. White space is dropped by its
 pre-tokeniser, so a text falls apart at white space and each unit is encoded once for all its
-occurrences. Units of plain Latin letters, ASCII digits and marks go through the vectorised merge
-rounds; all others (and all units, if the file is of another kind or a check against the library
-fails) are encoded by the library itself.
+occurrences. Units of plain Latin letters, ASCII digits and marks fall apart further, into the lower-cased
+runs that the pre-tokeniser makes of them, and go through the vectorised merge rounds; all others (and all
+units, if the file is of another kind or a check against the library fails) stay whole and are encoded by
+the library itself, or by the rounds after splitting by pattern.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ _NORMAL = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
 _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Bytes that part units: all ASCII white space of the normaliser.
 _SPACE = np.array([b in (9, 10, 11, 12, 13, 32) for b in range(256)])
+#: ``_CLASS`` of a byte before lower-casing, with all white space
+_KIND = np.array([3 if _SPACE[b] else 0 if 65 <= b <= 90 else _CLASS[b] for b in range(256)], np.uint8)
 _loaded: dict[bytes, WordModel] = {}
 
 
@@ -37,6 +40,17 @@ def _byte_signs() -> dict[int, str]:
     return out | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in out)}
 
 
+def _units(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the units between white space begin and end."""
+    inside = ~_SPACE[data]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        edge = np.append(0, edge)
+    if len(edge) % 2:
+        edge = np.append(edge, len(data))
+    return edge[::2], edge[1::2]
+
+
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
 
@@ -63,9 +77,11 @@ class WordModel:
             left, right, new = (np.array([vocab[f(a, b)] for a, b in pairs], np.int64) for f in (lambda a, b: a, lambda a, b: b, lambda a, b: a + b))
             self.table = PairTable(left, right, np.arange(len(pairs)), new)
             self.fast = bool((self.inner >= 0).all() and (self.final >= 0).all())
-        self.checked = False
+        self.checked = self.held = False
         heads = {t[0] for t in self.specials}
         self.way = np.array([3 if not (c == 32 or _LATIN(chr(c))) else 2 if chr(c) in heads else 1 if c == 39 else 0 for c in range(0x180)] + [3], np.uint8)
+        # of a byte: 1 its unit stays whole, 2 that depends on the next byte too (U+00C0 to U+017F)
+        self.odd = np.array([not _SPACE[b] and self.way[b] > 0 if b < 128 else 0 if b < 0xC0 else 2 if 0xC3 <= b <= 0xC5 else 1 for b in range(256)], np.uint8)
         self.store = SpanStore(self.encode_units)
 
     def by_library(self, units: list[str]) -> list[list[int]]:
@@ -136,16 +152,51 @@ class WordModel:
         upto = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum([len(x) for x in parts]))]
         return flat, np.diff(upto)
 
+    def spans(self, raw: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Bytes of as many, and where in them the spans lie that are encoded apart, with their lengths."""
+        data = np.frombuffer(raw, np.uint8)
+        if not self.fast or not raw:
+            heads, stops = _units(data)
+            return raw, heads, stops - heads
+        flag = self.odd[data]
+        two = np.flatnonzero(flag == 2)
+        flag[two] = self.way[(data[two] & 0x1F).astype(np.int64) << 6 | data[two + 1] & 0x3F] > 0
+        kind, low = _KIND[data], raw.lower()  # of bytes: ASCII letters only
+        if flag.any():
+            heads, stops = _units(data)
+            own = np.maximum.reduceat(flag, heads) > 0
+            if own.all():
+                return raw, heads, stops - heads
+            step = np.zeros(len(data) + 1, np.int8)
+            step[heads[own]], step[stops[own]] = 1, -1
+            whole = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+            kind, low = np.where(whole, np.uint8(4), kind), np.where(whole, data, np.frombuffer(low, np.uint8)).tobytes()
+        first = np.ones(len(data), bool)
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 1)
+        heads = np.flatnonzero(first)
+        lengths, word = np.diff(np.append(heads, len(data))), kind[heads] != 3
+        return low, heads[word], lengths[word]
+
+    def _hold(self, raw: bytes) -> None:
+        """Hold the spans of some units against the library, once a process."""
+        heads, stops = _units(np.frombuffer(raw, np.uint8))
+        n = min(1000, 1 + int(np.searchsorted(np.cumsum(stops - heads), 1 << 16)))
+        some = [raw[a:z].decode() for a, z in zip(heads[:n].tolist(), stops[:n].tolist(), strict=True)]
+        if some:
+            self.held = True
+            same = self.store.ids(*self.spans(" ".join(some).encode()))[0].tolist() == _flat(self.by_library(some))[0].tolist()
+            if not same:
+                self.fast = False
+                self.store.clear()
+
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and each text's number of ids, with `end` after each text if given."""
         each = [t.encode() if t else b"" for t in texts]
         raw = b"\n".join([*each, b""])
-        inside = ~_SPACE[np.frombuffer(raw, np.uint8)]
-        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        if len(inside) and inside[0]:
-            edge = np.append(0, edge)
-        heads, stops = edge[::2], edge[1::2]
-        flat, wide = self.store.ids(raw, heads, stops - heads)
+        if self.fast and not self.held:
+            self._hold(raw)
+        raw, heads, lengths = self.spans(raw)
+        flat, wide = self.store.ids(raw, heads, lengths)
         last = np.searchsorted(heads, np.cumsum([len(e) + 1 for e in each]))
         sizes = np.diff(np.append(0, np.append(0, np.cumsum(wide))[last]))
         if end is None:
